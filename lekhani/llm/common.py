@@ -35,6 +35,7 @@ def settle(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them again: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/lekhani-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()  # lets Spark's cleaner drop shuffle files that only this step needed
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,8 +6,9 @@ from lekhani.llm.bpe import op9_bpe
 from lekhani.llm.embeddings import op3_embeddings
 from lekhani.llm.language import op1_language
 from lekhani.llm.licenses import op10_licenses
+from lekhani.llm.lines import op7_lines
 from lekhani.llm.minhash import op4_minhash
 from lekhani.llm.quality import op6_quality
 
-QUERIES = {f.__name__: f for f in (op1_language, op3_embeddings, op4_minhash, op6_quality, op9_bpe, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_language, op3_embeddings, op4_minhash, op6_quality, op7_lines, op9_bpe, op10_licenses)}
 ORACLES: dict[str, str] = {}

@@ -40,24 +40,49 @@ def shared(members: DataFrame) -> DataFrame:
     return members.join(settle(full), "bucket", "left_semi")
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def unsettled(named: DataFrame) -> DataFrame:
+    """Rows (bucket, id, component) of buckets that hold several components and a pair not yet held against each other.
+
+    Buckets of two were settled against their smallest; of buckets with equal members one is kept.
+    """
+    own = named.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+    own = own.where("m > 2 and lo < hi").groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket"))
+    return named.join(settle(own.select("bucket", "m")), "bucket")
+
+
+def all_pairs(rest: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a bucket's rows that are in different components."""
+    rest = rest.select("bucket", "id", "component")
+    pairs = rest.alias("x").join(rest.alias("y"), "bucket").where("x.id < y.id and x.component <> y.component")
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
+def in_blocks(rest: DataFrame, block: int) -> DataFrame:
+    """rest (bucket, id, m, more columns) with i, j and side: pairs of parts of a bucket, each row in the pairs of its part with every part.
+
+    A part has about `block` rows, so a bucket of any size becomes tasks of bounded size, and no pair of rows is formed here.
+    """
+    parts = F.ceil(F.col("m") / block).cast("int")
+    placed = rest.withColumn("own", F.pmod(F.xxhash64("id", F.lit(2)), parts).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("own", "other", "m")
+
+
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Links found among members of a bucket, and components (id, component) of all that have links.
 
     members: bucket, id; only of buckets with more than one id. verify: keeps the linked ones of distinct pairs (a, b), a < b.
-    First each member is held against its bucket's smallest. Where a bucket still spans several components afterwards,
-    all its pairs from different components are held against each other, so nothing that shares a bucket is missed,
-    and pairs that are connected already are never formed.
+    First each member is held against its bucket's smallest. Where a bucket still spans several components afterwards, its
+    rows from different components are held against each other, so nothing that shares a bucket is missed: by `across`, which
+    takes rows (bucket, id, component, m) and returns links that join whatever is linked there, or else pair by pair.
     """
     center = settle(members.groupBy("bucket").agg(F.min("id").alias("center")))
     first = settle(members.join(center, "bucket").where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct())
     links = settle(verify(first))
     found = settle(components(links))
     named = settle(members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")))
-    mixed = settle(named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"))
-    rest = named.join(mixed, "bucket", "left_semi")
-    pairs = rest.alias("x").join(rest.alias("y"), "bucket").where("x.id < y.id and x.component <> y.component")
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = settle(verify(settle(pairs)))
+    rest = settle(unsettled(named))
+    more = settle(across(rest) if across else verify(settle(all_pairs(rest).join(first, ["a", "b"], "left_anti"))))
     if more.isEmpty():
         return links, found
     links = links.union(more)

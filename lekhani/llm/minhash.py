@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lekhani.llm.common import LOWER, NOT_BLANK, mix, settle, small_batches, span_hashes, table, text_bytes, word_spans
-from lekhani.llm.linking import link, shared
+from lekhani.llm.linking import in_blocks, link, shared
 
 #: Bands of rows: at similarity 0.85 one of 28 bands of 4 is equal but for one pair in 10^9, at 0.8 in 4 * 10^6.
 BANDS, ROWS = 28, 4
@@ -28,6 +28,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LARGEST = 1.02, 20.0, 4000
 #: A pair goes unconfirmed only if its likeliest similarity is this many standard errors under the threshold.
 MARGIN = 5.0
+#: Rows of a bucket that meet in one block.
+BLOCK = 256
 
 _RNG = np.random.default_rng(2024)
 _FACTORS = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -138,6 +140,73 @@ def band_rows(rows: DataFrame) -> DataFrame:
     return rows.select("id", "registers").mapInArrow(run, f"bucket long, id {id_type}")
 
 
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of each two sets, by products of membership matrices of bounded width."""
+    values, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    twice = times[place] > 1
+    column = (np.cumsum(times > 1) - 1)[place[twice]]
+    row, width = row[twice], int((times > 1).sum())
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for at in range(0, width, 4096):
+        lo, hi = np.searchsorted(column, [at, at + 4096])
+        has = np.zeros((len(sets), min(4096, width - at)), np.float32)
+        has[row[lo:hi], column[lo:hi] - at] = 1
+        out += (has @ has.T).astype(np.int64)
+    return out
+
+
+def block_links(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: bucket, i, j, side, id, component, set; sorted by block within partitions. Links (a, b) that join what is linked in a block.
+
+    Each row of a block that has a link to another component gets one link to the smallest id that it reaches in the block.
+    """
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def flush(key: tuple, ids: list, comps: list, sides: list, sets: list, out: list) -> None:
+        if len(set(comps)) < 2:
+            return
+        if len(ids) <= 4:
+            common = np.array([[len(np.intersect1d(x, y, assume_unique=True)) for x in sets] for y in sets])
+        else:
+            common = _intersections(sets)
+        n, comp, side = np.array([len(s) for s in sets]), np.unique(comps, return_inverse=True)[1], np.array(sides)
+        near = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+        near &= comp[:, None] != comp[None, :]
+        if key[1] != key[2]:
+            near &= side[:, None] != side[None, :]
+        if not near.any():
+            return
+        by = np.argsort(np.argsort(ids))
+        label = by.copy()
+        while True:
+            low = np.minimum(label, np.where(near, label[None, :], len(ids)).min(1))
+            if (low == label).all():
+                break
+            label = low
+        of = np.argsort(by)
+        out += [(ids[of[label[k]]], ids[k]) for k in np.flatnonzero(near.any(1)) if of[label[k]] != k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group, out = None, ([], [], [], []), []
+        for batch in batches:
+            for bucket, i, j, side, own, component, one in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, i, j) != key:
+                    if key:
+                        flush(key, *group, out)
+                    key, group = (bucket, i, j), ([], [], [], [])
+                for values, value in zip(group, (own, component, side, np.frombuffer(one, np.uint64)), strict=True):
+                    values.append(value)
+        if key:
+            flush(key, *group, out)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], rows_type) for k in (0, 1)], ["a", "b"])
+
+    rows_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(id_type, pa.int64())
+    return rows.mapInArrow(run, f"a {id_type}, b {id_type}")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id, kept. Linked: 100 * intersection >= percent * union of the shingle sets."""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -179,7 +248,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         left, right = (sets.select(F.col("id").alias(c), F.col("set").alias(f"s_{c}")) for c in "ab")
         return near.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(confirm, f"a {id_type}, b {id_type}")
 
-    _, found = link(members, verify)
+    def across(rest: DataFrame) -> DataFrame:
+        rows = settle(in_blocks(rest, BLOCK)).join(sets, "id").select("bucket", "i", "j", "side", "id", "component", "set")
+        width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return block_links(rows.repartition(width, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), percent)
+
+    _, found = link(members, verify, across)
     labels = settle(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("root")))
     # Empty sets are left as they are; a component's smallest representative is its smallest id.
     out = made.select("id", "n_shingles", "k1", "k2").join(labels, ["k1", "k2"], "left")

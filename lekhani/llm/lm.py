@@ -12,6 +12,7 @@ get equal scores. Without target documents the models differ by nothing that a t
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from lekhani.llm.common import LOWER, NOT_BLANK, mix, small_batches, span_hashes
 PRIOR, ADDED = 2.0, 0.05
 #: Slots for pairs: one for so many bytes of text, within these bounds (bits). Words have a quarter of them.
 BYTES_A_SLOT, LEAST_SLOTS_LOG2, MOST_SLOTS_LOG2 = 64, 14, 22
+#: Slots whose counts travel together.
+BLOCK = 1 << 12
 _START = np.uint64(0x243F6A8885A308D3)
 
 
@@ -43,20 +46,35 @@ def tokens(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def counts(docs: DataFrame, bits: int, text_col: str) -> DataFrame:
-    """kind (0 a word, 1 the word before, 2 a pair), slot, n: over all texts."""
+    """kind (0 a word, 1 the word before, 2 a pair), block, n (the packed counts of BLOCK slots): over all texts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros(1 << bits - 2, np.int64), np.zeros(1 << bits - 2, np.int64), np.zeros(1 << bits, np.int64)]
+    A task counts what it reads in arrays and sends each block once, packed; blocks are then summed wherever they meet.
+    """
+    sizes = [1 << bits - 2, 1 << bits - 2, 1 << bits]
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = "kind int, block int, n binary"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(size, np.int64) for size in sizes]
         for batch in small_batches(batches, 0):
             for total, found in zip(sums, tokens(batch.column(0), bits)[:3], strict=True):
-                total += np.bincount(found, minlength=len(total))
-        for kind, total in enumerate(sums):
-            full = np.flatnonzero(total)
-            for at in range(0, len(full), 1 << 16):
-                slot = full[at : at + (1 << 16)]
-                yield pa.record_batch([pa.array(np.full(len(slot), kind, np.int32)), pa.array(slot.astype(np.int32)), pa.array(total[slot])], ["kind", "slot", "n"])
+                np.add(total, np.bincount(found, minlength=len(total)), out=total)
+        yield from packed({(kind, at): total[at * BLOCK : (at + 1) * BLOCK] for kind, total in enumerate(sums) for at in range(-(-len(total) // BLOCK))})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for kind, block, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = np.frombuffer(zlib.decompress(n), np.int64)
+                sums[kind, block] = sums[kind, block] + part if (kind, block) in sums else part
+        yield from packed(sums)
+
+    def packed(sums: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for (kind, block), total in sums.items():
+            if total.any():
+                yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["kind", "block", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(read, schema).repartition(width, "kind", "block").mapInArrow(add, schema)
 
 
 class Models:
@@ -91,10 +109,8 @@ def train(target: DataFrame, background: DataFrame, text_col: str = "text", bits
     sides = []
     for docs in (target, background):
         arrays = [np.zeros(1 << bits - 2), np.zeros(1 << bits - 2), np.zeros(1 << bits)]
-        found = counts(docs, bits, text_col).toArrow()  # at most 1.5 * 2 ** MOST_SLOTS_LOG2 rows
-        kind, slot, n = (found.column(c).to_numpy() for c in ("kind", "slot", "n"))
-        for k, a in enumerate(arrays):
-            a[slot[kind == k]] = n[kind == k]
+        for r in counts(docs, bits, text_col).collect():  # 1.5 * 2 ** MOST_SLOTS_LOG2 counts at most, packed
+            arrays[r["kind"]][r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["n"]), np.int64)
         sides.append(arrays)
     return Models(bits, *sides)
 
@@ -122,4 +138,4 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents that are labelled as good and not toxic. Background: all documents."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    return score(docs, train(docs.join(good, "doc_id", "left_semi"), docs))
+    return score(docs, train(docs.join(good.hint("merge"), "doc_id", "left_semi"), docs))

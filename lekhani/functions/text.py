@@ -100,7 +100,8 @@ def token_script(token: Column) -> Column:
 
 
 def query_script(tokens: Column) -> Column:
-    deva, roman = (F.exists(tokens, lambda t, s=s: token_script(t) == s) for s in ("deva", "roman"))
+    deva = F.exists(tokens, lambda t: token_script(t) == "deva")
+    roman = F.exists(tokens, lambda t: token_script(t) == "roman")
     return F.when(deva & roman, "mixed").when(deva, "deva").when(roman, "roman").otherwise("none")
 
 

@@ -93,18 +93,19 @@ class Index:
 
     TABLES = ["postings", "term_stats", "doc_stats", "zone_stats", "champions"]
 
-    def __init__(self, docs: DataFrame, zones: list[str] = ZONES, positions: bool = True, tables: dict[str, DataFrame] | None = None, wanted: DataFrame | None = None):
-        """wanted: zone, term of the queries at hand; then only their postings are made, lengths still count all terms."""
+    def __init__(self, docs: DataFrame, zones: list[str] = ZONES, positions: bool = True, tables: dict[str, DataFrame] | None = None, wanted: DataFrame | None = None, cache: bool = False):
+        """wanted: zone, term of the queries at hand; then only their postings are made, lengths still count all terms. cache: keep both once computed."""
+        keep = (lambda df: df.persist()) if cache else (lambda df: df)
         self.docs, self.zones = docs, zones
         if tables is None and wanted is not None:
             terms = zone_terms(docs, zones)
-            post = postings(terms.join(wanted.select("zone", "term").distinct(), ["zone", "term"], "left_semi"), positions)
+            post = keep(postings(terms.join(wanted.select("zone", "term").distinct(), ["zone", "term"], "left_semi"), positions))
             lengths = terms.groupBy("zone", "doc_id").agg(F.count("*").alias("tf"))
-            stats = doc_stats(lengths, docs, zones).select("zone", "doc_id", "doc_len")
+            stats = keep(doc_stats(lengths, docs, zones).select("zone", "doc_id", "doc_len"))
             tables = {"postings": post, "term_stats": term_stats(post), "doc_stats": stats, "zone_stats": zone_stats(stats), "champions": champions(post.select("zone", "term", "doc_id", "tf"))}
         if tables is None:
-            post = postings(zone_terms(docs, zones), positions)
-            stats = doc_stats(post, docs, zones)
+            post = keep(postings(zone_terms(docs, zones), positions))
+            stats = keep(doc_stats(post, docs, zones))
             tables = {"postings": post, "term_stats": term_stats(post), "doc_stats": stats, "zone_stats": zone_stats(stats), "champions": champions(post.select("zone", "term", "doc_id", "tf"))}
         self.tables = tables
 

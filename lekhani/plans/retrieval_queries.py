@@ -32,8 +32,8 @@ def engine(spark: SparkSession, d: str, system: str, zones: list[str], positions
     if "dhvani" in zones:
         wanted = wanted.unionByName(rank.query_terms(q, "dhvani").select("zone", "term"))
     if system == "V1":
-        return Engine(ix.Index(docs_of(spark, d), zones, positions), params), q
-    return Engine(ix.Index(docs_of(spark, d), zones, positions, wanted=wanted), params), q
+        return Engine(ix.Index(docs_of(spark, d), zones, positions, cache=True), params), q
+    return Engine(ix.Index(docs_of(spark, d), zones, positions, wanted=wanted, cache=True), params), q
 
 
 def _system(system: str, zones: list[str], positions: bool = False, k: int = 10, champions: bool = False):
@@ -186,8 +186,8 @@ WINDOWS = f"""{KEYS}, pl AS (SELECT r.qid, r.doc_id, t.term, t.pos FROM r20 r JO
 ms AS (SELECT qid, doc_id, count(DISTINCT term) AS m FROM pl GROUP BY ALL),
 ends AS (SELECT qid, doc_id, pos FROM pl),
 lasts AS (SELECT e.qid, e.doc_id, e.pos AS e, p.term, max(p.pos) AS last FROM ends e JOIN pl p ON p.qid = e.qid AND p.doc_id = e.doc_id AND p.pos <= e.pos GROUP BY ALL),
-spans AS (SELECT qid, doc_id, e, e - min(last) + 1 AS span, count(*) AS c FROM lasts GROUP BY ALL),
-win AS (SELECT ms.qid, ms.doc_id, m, CASE WHEN m < 2 THEN 0 ELSE (SELECT min(span) FROM spans s WHERE s.qid = ms.qid AND s.doc_id = ms.doc_id AND s.c = ms.m) END AS win FROM ms),
+spans AS (SELECT qid, doc_id, e, e - min(last) + 1 AS span, count(*) AS c FROM lasts GROUP BY qid, doc_id, e),
+win AS (SELECT ms.qid, ms.doc_id, any_value(m) AS m, CASE WHEN any_value(m) < 2 THEN 0 ELSE min(CASE WHEN s.c = m THEN span END) END AS win FROM ms JOIN spans s ON s.qid = ms.qid AND s.doc_id = ms.doc_id GROUP BY ms.qid, ms.doc_id),
 prox AS (SELECT qid, doc_id, m, win, CASE WHEN m < 2 THEN 0.0 ELSE (m - 1)::DOUBLE / (CASE WHEN win > 1 THEN win - 1 ELSE 1 END) END AS proximity FROM win)"""
 VECTORS = "v AS (SELECT vec_id AS doc_id, embedding AS v FROM embeddings), qv AS (SELECT doc_id AS qid, v AS q FROM v WHERE doc_id < 20)"
 

@@ -123,7 +123,7 @@ QTOK = f"qtok AS (SELECT qid, unnest(ts) AS token, unnest(range(len(ts))) AS pos
 
 
 def dictionary(sources: list[str]) -> str:
-    every = " UNION ".join(f"SELECT token FROM {s}" for s in sources)
+    every = " UNION ".join(f"SELECT DISTINCT token FROM {s}" for s in sources)
     return f"""dict0 AS (SELECT token, {stop('token')} AS stop, {stem('token')} AS stem, {units('token')} AS u, {soundex('token')} AS sdx FROM ({every})),
 dict AS (SELECT token, stop, stem, sdx, {key_from('u', 'token')} AS key FROM dict0)"""
 

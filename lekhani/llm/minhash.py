@@ -29,7 +29,7 @@ BASE, RATE, LARGEST = 1.02, 20.0, 4000
 #: A pair goes unconfirmed only if its likeliest similarity is this many standard errors under the threshold.
 MARGIN = 5.0
 #: Rows of a bucket that meet in one block.
-BLOCK = 256
+BLOCK = 1024
 
 _RNG = np.random.default_rng(2024)
 _FACTORS = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -120,7 +120,7 @@ class Scanner:
         for end, (phrase, own, more) in self.automaton.iter(joined):
             found += 1
             if own:
-                at = joined.count(" ", 0, end - len(phrase))
+                at = joined.count(" ", 0, end - len(phrase) - 1)
                 first, last, n = (at if first is None else min(first, at)), max(at, last or 0), n + 1
                 base.add(own)
             labels |= {x for x in (own, more) if x}

@@ -11,6 +11,7 @@ from dataclasses import dataclass, fields, replace
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Word lists, suffixes and tables that results depend on.
 HINDI_STOP = """
@@ -63,7 +64,7 @@ STOP_WORDS = sorted({plain_normalize(w) for w in HINDI_STOP + HINGLISH_STOP + EN
 STEM_SUFFIXES = sorted({s.replace("ँ", "ं") for s in SUFFIXES}, key=lambda s: (-len(s), s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode composition; Spark has no function for it."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))

@@ -266,9 +266,9 @@ ORACLES = {
     "eval_metrics": f"{SCORES} SELECT system, form, {_AVG}, count(*) AS n_queries FROM pq GROUP BY ALL",
     "eval_rbo_csc": f"""{RUNS}, r AS (SELECT qid, form, doc_id, rank FROM runs WHERE system = 'S1' AND rank <= 10), n AS (SELECT qid, form, max(rank) AS n FROM r GROUP BY ALL),
 pr AS (SELECT a.form AS f, b.form AS g FROM (VALUES ('F1'), ('F2'), ('F3')) a(form), (VALUES ('F1'), ('F2'), ('F3')) b(form) WHERE a.form < b.form), qs AS (SELECT DISTINCT qid FROM r),
-d2 AS (SELECT qs.qid, f, g, least(coalesce((SELECT n FROM n WHERE n.qid = qs.qid AND form = f), 0), coalesce((SELECT n FROM n WHERE n.qid = qs.qid AND form = g), 0)) AS n, coalesce((SELECT max(n) FROM n WHERE n.qid = qs.qid AND form IN (f, g)), 0) AS any FROM qs CROSS JOIN pr),
+d2 AS (SELECT qs.qid, f, g, least(coalesce((SELECT n FROM n WHERE n.qid = qs.qid AND form = f), 0), coalesce((SELECT n FROM n WHERE n.qid = qs.qid AND form = g), 0)) AS n, coalesce((SELECT max(n) FROM n WHERE n.qid = qs.qid AND form IN (f, g)), 0) AS longest FROM qs CROSS JOIN pr),
 met AS (SELECT a.qid, a.form AS f, b.form AS g, list(greatest(a.rank, b.rank)) AS l FROM r a JOIN r b ON a.qid = b.qid AND a.doc_id = b.doc_id AND a.form < b.form GROUP BY ALL),
-v AS (SELECT d2.qid, f, g, n, coalesce(l, []) AS l FROM d2 LEFT JOIN met USING (qid, f, g) WHERE any > 0)
+v AS (SELECT d2.qid, f, g, n, coalesce(l, []) AS l FROM d2 LEFT JOIN met USING (qid, f, g) WHERE longest > 0)
 SELECT qid, round(avg(CASE WHEN n = 0 THEN 0 ELSE len([x for x in l if x <= n]) / n * power(0.9, n) + (1 - 0.9) / 0.9 * list_sum([len([x for x in l if x <= d]) / d * power(0.9, d) for d in range(1, n + 1)]) END), 6) AS csc FROM v GROUP BY qid""",
     "eval_invariance": f"{SCORES}, w AS (SELECT system, qid, count(DISTINCT form) AS n, min(ndcg10) AS worst, max(CASE WHEN form = 'F1' THEN ndcg10 END) AS a, max(CASE WHEN form = 'F2' THEN ndcg10 END) AS b, max(CASE WHEN form = 'F3' THEN ndcg10 END) AS c FROM pq GROUP BY ALL) SELECT system, count(*) AS n_queries, round(avg(a), 6) AS \"mean_F1\", round(avg(b), 6) AS \"mean_F2\", round(avg(c), 6) AS \"mean_F3\", round(avg(a) - avg(b), 6) AS \"gap_F2\", round(avg(a) - avg(c), 6) AS \"gap_F3\", round(avg(worst), 6) AS worst FROM w WHERE n = 3 GROUP BY system",
     "eval_significance": f"{SCORES}, df AS (SELECT form, qid, round(max(CASE WHEN system = 'S1' THEN ndcg10 END), 9) - round(max(CASE WHEN system = 'B1' THEN ndcg10 END), 9) AS d FROM pq GROUP BY ALL), o AS (SELECT form, avg(d) AS observed, count(*) AS n FROM df GROUP BY form), fl AS (SELECT form, perm, avg(CASE WHEN {_HEX.format(chr(113) + 'id::VARCHAR || ' + S.lit('-') + ' || perm::VARCHAR', 1)} % 2 = 0 THEN d ELSE -d END) AS m FROM df CROSS JOIN range(500) t(perm) GROUP BY ALL) SELECT form, round(observed, 6) AS observed, n, round((sum((abs(m) >= abs(observed) - 1e-12)::INT) + 1) / 501, 6) AS p FROM fl JOIN o USING (form) GROUP BY form, observed, n",

@@ -32,7 +32,7 @@ def qrels(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold an item's tokens in a row. The items are a bounded set against all documents."""
     held = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat(F.lit(" "), F.array_join(T.tokenize(F.col("text")), " "), F.lit(" ")).alias("t"))
     items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.concat(F.lit(" "), F.array_join(T.tokenize(F.col("text")), " "), F.lit(" ")).alias("p"))
-    return held.join(items, F.contains(F.col("t"), F.col("p"))).select(F.col("item_id").alias("qid"), "doc_id", F.lit(1).alias("rel"))
+    return held.join(items, F.contains(F.col("t"), F.col("p"))).select(F.col("item_id").alias("qid"), "doc_id", F.lit(1).alias("rel")).persist()
 
 
 def runs(spark: SparkSession, d: str, params: Params = Params()) -> DataFrame:
@@ -43,7 +43,7 @@ def runs(spark: SparkSession, d: str, params: Params = Params()) -> DataFrame:
     for s in ("B1", "S1"):
         one = e.search(f.select("qid", "text"), s, 100).join(f.select("qid", "item", "form"), "qid").select(F.lit(s).alias("system"), "form", F.col("item").alias("qid"), "doc_id", "score", "rank")
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.persist()  # metrics read a run several times
 
 
 def rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:

@@ -21,7 +21,7 @@ def docs_of(spark: SparkSession, d: str) -> DataFrame:
 def topics(spark: SparkSession, d: str) -> DataFrame:
     """qid, text: the first six content tokens of each benchmark item."""
     own = F.slice(F.filter(T.tokenize(F.col("text")), lambda t: ~T.is_stop(t)), 1, 6)
-    return spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.array_join(own, " ").alias("text"))
+    return spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.array_join(own, " ").alias("text")).persist()
 
 
 def engine(spark: SparkSession, d: str, system: str, zones: list[str], positions: bool = False, params: Params = Params(), queries: DataFrame | None = None) -> tuple[Engine, DataFrame]:

@@ -34,11 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them again: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/lekhani-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     df.sparkSession._jvm.System.gc()  # lets Spark's cleaner drop shuffle files that only this step needed
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete rows that settle() wrote, once all that was made of them is settled too."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], text: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one holds about `limit` bytes of column `text` (a longer text stands alone)."""
     for batch in batches:

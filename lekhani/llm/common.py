@@ -31,10 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Spark's setting that drops an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them again: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/lekhani-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")  # shuffle files of this write go when it ends; nothing reads them again
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     df.sparkSession._jvm.System.gc()  # lets Spark's cleaner drop shuffle files that only this step needed
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,13 +1,16 @@
 """Cross-entropy difference: a target and a background word-bigram model over one vocabulary score each document.
 
-Words (lower-cased A-Z, cut at white space) and pairs of neighbouring words are counted over whole texts in hashed slots,
-of which both models have the same. A word's probability is its pair's count, with PRIOR times its own share added, over
-the count of the word before plus PRIOR; its own share is smoothed over all slots. The background counts are scaled to the target's number of words, so both are smoothed alike.
+Words (lower-cased A-Z, cut at white space) and pairs of neighbouring words are counted over whole texts, each under its own
+64-bit hash, in tables dealt over the cluster. A word's probability is its pair's count, with PRIOR times its own share added, over
+the count of the word before plus PRIOR; its own share is smoothed over the vocabulary (words of either side). The background counts are scaled to the target's number of words, so both are smoothed alike.
 A token's difference is log p_target - log p_background; a document's score is the mean over its words.
 
-Counts are summed in each task, then by slot; slots grow with the corpus up to `MOST_SLOTS_LOG2` bits, so a model fits a worker
-at any size. Null or empty texts have no words and score 0. A word at a text's start follows a start sign. Equal texts
-get equal scores. Without target documents the models differ by nothing that a text shows: the score is then that of smoothing.
+Counts are summed in each task, then by pair; each text's distinct pairs are joined to them. Nothing is capped or shared
+but by equal 64-bit hashes, and nothing of the corpus's size is held in one place. Null or empty texts have no words and
+score 0. A word at a text's start follows a start sign. Equal texts get equal scores. Without target documents the models
+differ by nothing that a text shows: the score is then that of smoothing.
+
+`train` and `score` are the in-memory form for small corpora: the same counts in 2^bits hashed slots, which pairs may share.
 """
 
 from __future__ import annotations
@@ -17,22 +20,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhani.llm.common import LOWER, NOT_BLANK, mix, small_batches, span_hashes, table, text_bytes, word_spans
+from lekhani.llm.common import LOWER, NOT_BLANK, discard, mix, settle, small_batches, span_hashes, table, text_bytes, word_spans
 
 #: Weight of a word's own share beside its pairs' counts, and what smoothing adds to each slot of the vocabulary.
 PRIOR, ADDED = 2.0, 0.05
-#: Slots for pairs: one for so many bytes of text, within these bounds (bits). Words have a quarter of them.
+#: Passes in which `exact_scores` counts and joins pairs, each over its share of the hashes: bounds the rows on disk at a time.
+PASSES = 4
+#: In-memory form only. Slots for pairs: one for so many bytes of text, within these bounds (bits). Words have a quarter of them.
 BYTES_A_SLOT, LEAST_SLOTS_LOG2, MOST_SLOTS_LOG2 = 64, 14, 22
 #: Slots whose counts travel together.
 BLOCK = 1 << 12
 _START = np.uint64(0x243F6A8885A308D3)
 
 
-def tokens(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of each word, of the word before it, of the pair; and for each text the index of its first word (n + 1 values)."""
+def hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each word, of the word before it, of the pair; and for each text the index of its first word (n + 1 values)."""
     raw, off = text_bytes(column)
     raw = LOWER[raw]
     starts, ends, first = word_spans(raw, off, NOT_BLANK)
@@ -40,8 +45,13 @@ def tokens(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     before = np.empty_like(h)
     before[1:] = h[:-1]
     before[first[:-1][first[:-1] < first[1:]]] = _START
+    return h, before, mix(before * np.uint64(0x9E3779B97F4A7C15) + h), first
+
+
+def tokens(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of each word, of the word before it, of the pair; and for each text the index of its first word (n + 1 values)."""
+    h, before, pair, first = hashes(column)
     word_shift, pair_shift = np.uint64(64 - bits + 2), np.uint64(64 - bits)
-    pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
     return (h >> word_shift).astype(np.int64), (before >> word_shift).astype(np.int64), (pair >> pair_shift).astype(np.int64), first
 
 
@@ -134,8 +144,84 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
     return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
 
 
+def _pair_counts(docs: DataFrame, text_col: str, part: int) -> DataFrame:
+    """word, before, n: the pairs of one pass, summed within slices of a task's texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 0, 1 << 23):
+            h, before, pair, _ = hashes(batch.column(0))
+            own = pair % np.uint64(PASSES) == part
+            _, at, n = np.unique(pair[own], return_index=True, return_counts=True)
+            yield pa.record_batch([pa.array(x.astype(np.int64)) for x in (h[own][at], before[own][at], n)], ["word", "before", "n"])
+
+    return docs.select(text_col).mapInArrow(run, "word long, before long, n long")
+
+
+def _pair() -> Column:
+    """One column for a pair, where rows are joined."""
+    return F.xxhash64("word", "before").alias("pair")
+
+
+def _pair_uses(docs: DataFrame, part: int) -> DataFrame:
+    """docs: key, text. key, pair, times: each text's distinct pairs of one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1):
+            h, before, pair, first = hashes(batch.column(1))
+            row = np.repeat(np.arange(batch.num_rows), first[1:] - first[:-1])
+            own = pair % np.uint64(PASSES) == part
+            h, before, pair, row = h[own], before[own], pair[own], row[own]
+            order = np.lexsort((pair, row))
+            h, before, pair, row = h[order], before[order], pair[order], row[order]
+            new = np.ones(len(pair), bool)
+            new[1:] = (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])
+            at = np.flatnonzero(new)
+            times = np.diff(np.append(at, len(pair)))
+            yield pa.record_batch([batch.column(0).take(pa.array(row[at])), pa.array(h[at].astype(np.int64)), pa.array(before[at].astype(np.int64)), pa.array(times.astype(np.int32))], ["key", "word", "before", "times"])
+
+    return docs.select("key", "text").mapInArrow(run, "key long, word long, before long, times int").select("key", _pair(), "times")
+
+
+def exact_scores(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As score(), by exact counts of every word and pair: joins only, at any size of the corpus. docs are the background too."""
+    both = ("t", "b")
+    target = settle(target.select(text_col))  # read in each pass
+    pairs = []
+    for part in range(PASSES):
+        t, b = (_pair_counts(side, text_col, part) for side in (target, docs))
+        rows = t.select("word", "before", F.col("n").alias("t"), F.lit(0).cast("long").alias("b")).union(b.select("word", "before", F.lit(0).cast("long"), "n"))
+        pairs.append(settle(rows.groupBy("word", "before").agg(*(F.sum(c).alias(c) for c in both))))
+    every = pairs[0]
+    for more in pairs[1:]:
+        every = every.union(more)
+    words = settle(every.groupBy("word").agg(*(F.sum(c).alias(f"word_{c}") for c in both)))
+    contexts = settle(every.groupBy("before").agg(*(F.sum(c).alias(f"before_{c}") for c in both)))
+    size, total_t, total_b = words.agg(F.count("*"), F.sum("word_t"), F.sum("word_b")).first()  # three numbers
+    scale = {"t": 1.0, "b": total_t / total_b if total_t and total_b else 1.0}
+    total = {"t": total_t or 0, "b": total_b or 0}
+
+    def loss(c: str) -> Column:
+        own = (F.col(f"word_{c}") * F.lit(scale[c]) + ADDED) / F.lit(total[c] * scale[c] + ADDED * max(size, 1))
+        return -F.log((F.col(c) * F.lit(scale[c]) + PRIOR * own) / (F.col(f"before_{c}") * F.lit(scale[c]) + PRIOR))
+
+    texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    sums = None
+    for part, counted in enumerate(pairs):
+        model = settle(counted.join(words, "word").join(contexts, "before").select(_pair(), loss("t").alias("t"), loss("b").alias("b")))
+        discard(counted)
+        used = _pair_uses(texts, part).join(model, "pair")  # each pair of docs was counted
+        own = settle(used.groupBy("key").agg(F.sum("times").alias("n"), *(F.sum(F.col("times") * F.col(c)).alias(c) for c in both)))
+        discard(model)
+        sums = own if sums is None else sums.union(own)
+    # Equal texts share a key; sums are over all copies.
+    copies = texts.groupBy("key").agg(F.count("*").alias("copies"))
+    sums = settle(sums.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n", *both))).join(copies, "key").select("key", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), (F.col("t") / F.col("n")).alias("target_loss"), (F.col("b") / F.col("n")).alias("background_loss")))
+    out = docs.select(F.col(id_col), F.xxhash64(text_col).alias("key")).join(sums, "key", "left").na.fill(0, ["n_tokens", "target_loss", "background_loss"])
+    return out.select(id_col, "n_tokens", "target_loss", "background_loss", (F.col("background_loss") - F.col("target_loss")).alias("score"))
+
+
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents that are labelled as good and not toxic. Background: all documents."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    return score(docs, train(docs.join(good.hint("merge"), "doc_id", "left_semi"), docs))
+    return exact_scores(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"))

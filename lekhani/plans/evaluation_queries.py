@@ -207,6 +207,11 @@ def mixed_corpus(spark, d):
     return an.mixed_corpus(documents(spark, d).select("doc_id", F.col("lang").alias("text")))
 
 
+def mixed_corpus_texts(spark, d):
+    """Over whole texts. SQL can't romanise, so this has none; tests hold it against brute force."""
+    return an.mixed_corpus(documents(spark, d).select("doc_id", "text"))
+
+
 def idf_examples(spark, d):
     docs = docs_of(spark, d)
     q = topics(spark, d)
@@ -224,7 +229,7 @@ def held_out_split(spark, d):
     return an.hash_split(documents(spark, d).select("doc_id"), "doc_id").groupBy("held_out").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (eval_qrels, eval_metrics, eval_rbo_csc, eval_invariance, eval_significance, eval_grid, eval_latency, cand_features, gate_features, gate_threshold_curve, gate_threshold, budget_curve, ltr_rerank, gate_train, corpus_df_top, corpus_zipf, corpus_idf_hist, corpus_scalars, length_bias, key_ablation, agreement, sample_corpus, mixed_corpus, idf_examples, overlap, held_out_split)}
+QUERIES = {f.__name__: f for f in (eval_qrels, eval_metrics, eval_rbo_csc, eval_invariance, eval_significance, eval_grid, eval_latency, cand_features, gate_features, gate_threshold_curve, gate_threshold, budget_curve, ltr_rerank, gate_train, corpus_df_top, corpus_zipf, corpus_idf_hist, corpus_scalars, length_bias, key_ablation, agreement, sample_corpus, mixed_corpus, mixed_corpus_texts, idf_examples, overlap, held_out_split)}
 
 _F2 = "replace(replace(replace(text, 'sh', 's'), 'ee', 'i'), 'w', 'v')"
 _F3 = "replace(replace(text, 'th', 't'), 'i', 'ee')"

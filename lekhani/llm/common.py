@@ -23,20 +23,30 @@ def id_bucket(col: str, n: int):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share. A local session without one takes a temporary folder; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else f"file://{tempfile.gettempdir()}/checkpoints"
+        if current.isDefined():
+            named = current.get()
+        elif spark.sparkContext.master.partition("[")[0] == "local":
+            named = f"file://{tempfile.gettempdir()}/checkpoints"
+        else:
+            raise ValueError("spark.checkpoint.dir names no folder that executors share")
     return named.rstrip("/")
 
 
 #: Spark's setting that drops an execution's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths that settle() wrote and nothing has deleted yet.
+_WRITTEN: set[str] = set()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and read them again: cuts the lineage, survives lost executors."""
+def settle(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and read them again: cuts the lineage, survives lost executors.
+
+    spent: settled rows that nothing reads after this write; they are deleted.
+    """
     path = f"{shared_dir(df.sparkSession)}/lekhani-{uuid.uuid4().hex}"
     conf = df.sparkSession.conf
     before = conf.get(CLEANUP, None)
@@ -45,15 +55,33 @@ def settle(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
-    df.sparkSession._jvm.System.gc()  # lets Spark's cleaner drop shuffle files that only this step needed
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.add(path)
+    for old in spent:
+        discard(old)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _WRITTEN.discard(path)
 
 
 def discard(df: DataFrame) -> None:
     """Delete rows that settle() wrote, once all that was made of them is settled too."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    path = getattr(df, "written_path", None)
+    if path in _WRITTEN:
+        _delete(df.sparkSession, path)
+
+
+def sweep(docs: DataFrame) -> None:
+    """Delete all that settle() wrote in this process but what docs reads. For use between stages whose results are written."""
+    read = docs.inputFiles()
+    for path in list(_WRITTEN):
+        if not any(path.rpartition("/")[2] in f for f in read):
+            _delete(docs.sparkSession, path)
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], text: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -15,75 +15,69 @@ def components(links: DataFrame) -> DataFrame:
 
     Distributed union-find by alternating stars: each node hands its larger neighbours, then its smaller ones, to the
     smallest; ends when every node hangs directly on its component's smallest. Rounds grow with the logarithm of the size.
-    Each round's rows are written to the shared folder, so joins read plain tables and Spark can split hot keys.
+    Each round's rows are written to the shared folder, so joins read plain tables and Spark can split hot keys; rows of
+    earlier rounds are deleted.
     """
     edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")))
-        edges = settle(both.join(low, "a").where("b > a and b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct())
-        low = settle(edges.groupBy("a").agg(F.min("b").alias("low")))
-        down = edges.join(low, "a").where("b <> low").select("b", "low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = settle(down.union(low.select("a", F.col("low").alias("b"))).distinct())
+        large = settle(both.join(low, "a").where("b > a and b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), edges, low)
+        low = settle(large.groupBy("a").agg(F.min("b").alias("low")))
+        down = large.join(low, "a").where("b <> low").select("b", "low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        edges = settle(down.union(low.select("a", F.col("low").alias("b"))).distinct(), large, low)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
     roots = edges.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
+    return settle(edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots), edges)
 
 
-def shared(members: DataFrame) -> DataFrame:
-    """Rows (bucket, id) whose bucket holds another id."""
-    full = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
-    return members.join(settle(full), "bucket", "left_semi")
+def centered(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, id, center) of the rows (bucket, id) whose bucket holds another id; center is the bucket's smallest."""
+    full = rows.groupBy("bucket").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last").select("bucket", "center")
+    return rows.join(full.hint("shuffle_hash"), "bucket")  # few buckets hold several
 
 
-def unsettled(named: DataFrame) -> DataFrame:
-    """Rows (bucket, id, component) of buckets that hold several components and a pair not yet held against each other.
+def in_blocks(rest: DataFrame) -> DataFrame:
+    """rest (bucket, id, parts, more columns) with i, j and side: pairs of parts of a bucket, each row in the pairs of its part with every part.
 
-    Buckets of two were settled against their smallest; of buckets with equal members one is kept.
+    The caller sets parts so that one has bounded rows and bytes; a bucket of any size becomes tasks of bounded size, and no
+    pair of rows is formed here.
     """
-    own = named.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("y"))
-    own = own.where("m > 2 and lo < hi").groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket"))
-    return named.join(settle(own.select("bucket", "m")), "bucket")
+    placed = rest.withColumn("own", F.pmod(F.xxhash64("id", F.lit(2)), "parts").cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("own", "other", "parts")
 
 
-def all_pairs(rest: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of a bucket's rows that are in different components."""
-    rest = rest.select("bucket", "id", "component")
-    pairs = rest.alias("x").join(rest.alias("y"), "bucket").where("x.id < y.id and x.component <> y.component")
-    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+def link(members: DataFrame, weights: DataFrame, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame], block: int, block_weight: int, most: int = 1 << 16) -> DataFrame:
+    """Components (id, component) of the ids that are linked within a bucket. Deletes members.
 
+    members: as `centered` returns them, settled. weights: id, n (what an id brings to a block). verify keeps the linked
+    ones of distinct pairs (a, b). across takes rows (bucket, id, component, parts), for `in_blocks`, and returns distinct
+    pairs (a, b) of components between which it found links.
 
-def in_blocks(rest: DataFrame, block: int) -> DataFrame:
-    """rest (bucket, id, m, more columns) with i, j and side: pairs of parts of a bucket, each row in the pairs of its part with every part.
-
-    A part has about `block` rows, so a bucket of any size becomes tasks of bounded size, and no pair of rows is formed here.
-    """
-    parts = F.ceil(F.col("m") / block).cast("int")
-    placed = rest.withColumn("own", F.pmod(F.xxhash64("id", F.lit(2)), parts).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("own", "other", "m")
-
-
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Links found among members of a bucket, and components (id, component) of all that have links.
-
-    members: bucket, id; only of buckets with more than one id. verify: keeps the linked ones of distinct pairs (a, b), a < b.
-    First each member is held against its bucket's smallest. Where a bucket still spans several components afterwards, its
-    rows from different components are held against each other, so nothing that shares a bucket is missed: by `across`, which
-    takes rows (bucket, id, component, m) and returns links that join whatever is linked there, or else pair by pair.
+    First each member is held against its bucket's smallest. Ids that buckets join, directly or through others, are a pool.
+    Where a pool still spans several components, its members of different components are held against each other: in pools
+    of up to `most` ids all of them, in larger ones those that share a bucket. So nothing that shares a bucket is missed, each
+    id's data travel once for each part of a pool, and no row is made for a pair. A part has about `block` ids and `block_weight` of n.
     """
-    center = settle(members.groupBy("bucket").agg(F.min("id").alias("center")))
-    first = settle(members.join(center, "bucket").where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct())
-    links = settle(verify(first))
-    found = settle(components(links))
-    named = settle(members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")))
-    rest = settle(unsettled(named))
-    more = settle(across(rest) if across else verify(settle(all_pairs(rest).join(first, ["a", "b"], "left_anti"))))
-    if more.isEmpty():
-        return links, found
-    links = links.union(more)
-    return links, settle(components(links))
+    first = settle(members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct())
+    pools = components(first)
+    links = settle(verify(first), first)
+    found = components(links)
+    named = pools.select("id", F.col("component").alias("pool")).join(found, "id", "left").join(weights.select("id", "n"), "id")
+    named = settle(named.select("id", "pool", "n", F.coalesce("component", "id").alias("component")), links, pools, found)
+    span = [F.count("*").alias("m"), F.sum("n").alias("weight"), F.min("component").alias("lo"), F.max("component").alias("hi")]
+    parts = F.ceil(F.greatest(F.col("m") / block, F.col("weight") / block_weight)).cast("int").alias("parts")
+    sizes = settle(named.groupBy("pool").agg(*span).where("m > 2 and lo < hi"))  # a pool of two was held against each other
+    small = named.join(sizes.where(F.col("m") <= most).select("pool", parts), "pool").select(F.col("pool").cast("string").alias("bucket"), "id", "component", "parts")
+    large = members.select("bucket", "id").join(named.join(sizes.where(F.col("m") > most).select("pool"), "pool", "left_semi"), "id")
+    spans = large.groupBy("bucket").agg(*span).where("m > 2 and lo < hi").select("bucket", parts)
+    large = large.join(spans, "bucket").select(F.concat(F.lit("bucket "), F.col("bucket").cast("string")).alias("bucket"), "id", "component", "parts")
+    rest = settle(small.union(large), members, sizes)
+    joined = components(settle(across(rest), rest))
+    out = named.select("id", "component").join(joined.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
+    return settle(out.select("id", F.coalesce("root", "component").alias("component")), named, joined)

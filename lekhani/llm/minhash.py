@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lekhani.llm.common import LOWER, NOT_BLANK, mix, settle, small_batches, span_hashes, table, text_bytes, word_spans
-from lekhani.llm.linking import in_blocks, link, shared
+from lekhani.llm.common import LOWER, NOT_BLANK, discard, mix, settle, small_batches, span_hashes, table, text_bytes, word_spans
+from lekhani.llm.linking import centered, in_blocks, link
 
 #: Bands of rows: at similarity 0.85 one of 28 bands of 4 is equal but for one pair in 10^9, at 0.8 in 4 * 10^6.
 BANDS, ROWS = 28, 4
@@ -28,8 +29,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LARGEST = 1.02, 20.0, 4000
 #: A pair goes unconfirmed only if its likeliest similarity is this many standard errors under the threshold.
 MARGIN = 5.0
-#: Rows of a bucket that meet in one block.
-BLOCK = 1024
+#: Documents and shingles of a part of a pool; two parts meet in a block.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 
 _RNG = np.random.default_rng(2024)
 _FACTORS = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -159,9 +160,9 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def block_links(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: bucket, i, j, side, id, component, set; sorted by block within partitions. Links (a, b) that join what is linked in a block.
+    """rows: bucket, i, j, side, id, component, set; sorted by block within partitions. Pairs (a, b) of components that are linked in a block.
 
-    Each row of a block that has a link to another component gets one link to the smallest id that it reaches in the block.
+    Each component of a block that has a link to another gets one pair with the smallest that it reaches there.
     """
     id_type = rows.schema["id"].dataType.simpleString()
 
@@ -179,15 +180,16 @@ def block_links(rows: DataFrame, percent: int) -> DataFrame:
             near &= side[:, None] != side[None, :]
         if not near.any():
             return
-        by = np.argsort(np.argsort(ids))
-        label = by.copy()
+        names, at = np.unique(comps, return_inverse=True)
+        label = np.arange(len(names))
         while True:
-            low = np.minimum(label, np.where(near, label[None, :], len(ids)).min(1))
+            reach = np.where(near, label[at][None, :], len(names)).min(1)
+            low = label.copy()
+            np.minimum.at(low, at, reach)
             if (low == label).all():
                 break
             label = low
-        of = np.argsort(by)
-        out += [(ids[of[label[k]]], ids[k]) for k in np.flatnonzero(near.any(1)) if of[label[k]] != k]
+        out += [(comps_of[label[k]], comps_of[k]) for comps_of in [names.tolist()] for k in range(len(names)) if label[k] != k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, ([], [], [], []), []
@@ -199,12 +201,18 @@ def block_links(rows: DataFrame, percent: int) -> DataFrame:
                     key, group = (bucket, i, j), ([], [], [], [])
                 for values, value in zip(group, (own, component, side, np.frombuffer(one, np.uint64)), strict=True):
                     values.append(value)
+                if len(out) > 10_000:
+                    yield made(out)
+                    out = []
         if key:
             flush(key, *group, out)
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], rows_type) for k in (0, 1)], ["a", "b"])
+        yield made(out)
 
-    rows_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(id_type, pa.int64())
-    return rows.mapInArrow(run, f"a {id_type}, b {id_type}")
+    def made(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k in (0, 1)], ["a", "b"])
+
+    kind = to_arrow_type(rows.schema["id"].dataType)
+    return rows.mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,12 +220,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     id_type = docs.schema[id_col].dataType.simpleString()
     made = settle(sketches(docs, k, id_col, text_col))
     classes = settle(made.where("n_shingles > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep")))
-    reps = made.join(classes.select(F.col("rep").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi").select("id", "n_shingles", "registers")
+    reps = made.join(classes.select(F.col("rep").alias("id"), "k1", "k2"), ["id", "k1", "k2"], "left_semi").select("id", F.col("n_shingles").alias("n"), "registers")
     reps = settle(reps)
-    members = settle(shared(settle(band_rows(reps))))
-    wanted = members.select("id").distinct()
-    sets = settle(full_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi"), k))
-    known = reps.join(wanted, "id", "left_semi")
+    # Registers are read no more than here: the rows that the result reads go without them.
+    made = settle(made.drop("registers"), made)
+    members = settle(centered(band_rows(reps)))
+    known = settle(reps.join(members.select("id").distinct(), "id", "left_semi"), reps)
+    sets = settle(full_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known.select("id"), "id", "left_semi"), k))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,19 +251,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
             yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (known.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}")) for c in "ab")
+        left, right = (known.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}")) for c in "ab")
         rows = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
         near = settle(rows.mapInArrow(likely, f"a {id_type}, b {id_type}"))
         left, right = (sets.select(F.col("id").alias(c), F.col("set").alias(f"s_{c}")) for c in "ab")
         return near.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(confirm, f"a {id_type}, b {id_type}")
 
     def across(rest: DataFrame) -> DataFrame:
-        rows = settle(in_blocks(rest, BLOCK)).join(sets, "id").select("bucket", "i", "j", "side", "id", "component", "set")
         width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = in_blocks(rest).join(sets, "id").select("bucket", "i", "j", "side", "id", "component", "set")
         return block_links(rows.repartition(width, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), percent)
 
-    _, found = link(members, verify, across)
-    labels = settle(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("root")))
+    found = link(members, known, verify, across, BLOCK, BLOCK_SHINGLES)
+    discard(known)
+    discard(sets)
+    labels = settle(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("root")), classes, found)
     # Empty sets are left as they are; a component's smallest representative is its smallest id.
     out = made.select("id", "n_shingles", "k1", "k2").join(labels, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "id")).otherwise(F.col("id"))

@@ -1,7 +1,9 @@
 """From raw documents to token ids in five stages; each stage's rows are written as Parquet and read as the next one's documents.
 
-Quality, repeated lines, near-duplicate documents, benchmark passages, BPE. All but the last return the columns of documents.
-Null and empty texts, ties, repeated rows and empty tables are handled as the operators state.
+Quality, repeated lines, near-duplicate documents, benchmark passages, BPE. All but the last return the columns of documents,
+whatever they are named. Null and empty texts, ties, repeated rows and empty tables are handled as the operators state.
+Each stage's docs must be written rows, as `run` hands them on: a stage begins by deleting the intermediate rows of the
+stages before it. So one pipeline runs at a time in a process.
 """
 
 from __future__ import annotations
@@ -12,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lekhani.llm import bpe, decontaminate, lines, minhash, quality
-from lekhani.llm.common import settle, table
+from lekhani.llm.common import settle, sweep, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from all rows of labels."""
+    sweep(docs)
     rated = settle(quality.rate(docs, table(spark, sf_dir, "labels")))
     rejected = rated.where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
     return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
@@ -24,22 +27,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that another line stands for go from the texts; n_chars follows."""
+    sweep(docs)
     return lines.drop_repeated_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: shingles of five words, similarity 0.8."""
+    sweep(docs)
     copies = settle(minhash.near_duplicates(docs, k=5, percent=80)).where("not kept").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    sweep(docs)
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and the decoded text of every document that stayed."""
+    sweep(docs)
     return bpe.encode_texts(docs, bpe.tokenizer_path())
 
 

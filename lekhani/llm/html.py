@@ -7,7 +7,9 @@ heading. A tree grown here on a small labelled table decides.
 
 Null or empty pages and pages without main text give "". Character references are decoded, white space inside a block
 is one space, blocks are joined by one line feed. Unclosed and stray tags are tolerated; very long pages are read whole, in
-linear time. Equal pages get equal texts; blocks are never dropped for being repeated.
+linear time. Equal pages get equal texts; blocks are never dropped for being repeated. A form is boilerplate, but an article
+inside a form that wraps the page isn't, and a page whose text is all inside forms is judged as if it had none. An empty table
+gives an empty one. Columns other than id, address and page are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ UNREAD = set("script style noscript template iframe object svg math canvas audio
 RAW = set("script style textarea title iframe noembed noframes noscript".split())
 BOILERPLATE = set("nav footer aside form menu button dialog fieldset".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
+ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 #: Words of a class or id that name boilerplate, alone or as the start of a word; the last ones are neutral inside an article.
 NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?\w*|advertis\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|notification\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|sign-?up|log-?in|"
@@ -39,8 +41,14 @@ NAMED = re.compile(
 NAMED_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:(?:site|page|top|main)-?header|masthead|header|topbar|search\w*|tags?|meta)(?=$|[\s_-])", re.IGNORECASE)
 NAMED_ARTICLE = re.compile(r"(?:^|[\s_-])(?:article(?:-?(?:body|content|text))?|(?:entry|post|story|page|main)-?(?:content|body|text)|content)(?=$|[\s_-])", re.IGNORECASE)
 
-_TAG = re.compile(r"<(?:(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|!--|[!?])")
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))|(?<=\s)(hidden)(?=[\s/]|$)")
+#: Elements that hold a stretch of an article's own text: for them a class or id counts only if all its parts are such words.
+TEXTUAL = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption".split())
+_TAG = re.compile(r"<(?:(/?)([A-Za-z][^\s/>]*)|!--|[!?])")
+#: Where a tag may end, or the value in quotation marks of an attribute begins.
+_STOP = re.compile(r">|=\s*([\"'])")
+_ATTRIBUTE = re.compile(r"(?<![^\s=/>\"'])([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))|(?<=\s)(hidden)(?=[\s/]|$)")
+#: Ends of elements whose content is read as it stands.
+_RAW_END = {name: re.compile(rf"</{name}", re.IGNORECASE | re.ASCII) for name in RAW}
 
 #: A labelled table of blocks: boilerplate around it, inside an article, the page's article is elsewhere, heading; words and
 #: link density of the block, of the one before and of the one after; and 1 for main text.
@@ -201,33 +209,60 @@ def _names(rest: str) -> dict[str, str]:
     return out
 
 
+class Ends:
+    """Finds where tags end, in time linear in the page: `>` inside a quoted value ends none, unless no tag would end at all."""
+
+    def __init__(self, page: str):
+        self.page, self.loose, self.unclosed = page, False, set()
+
+    def of(self, at: int) -> int:
+        """The place of the `>` that ends the tag whose name ends at `at`; -1 if there is none."""
+        begin = at
+        while not self.loose:
+            m = _STOP.search(self.page, at)
+            if not m:
+                self.loose = True  # as later tags would find none either
+            elif not m[1]:
+                return m.start()
+            else:
+                close = -1 if m[1] in self.unclosed else self.page.find(m[1], m.end())
+                if close < 0:
+                    self.unclosed.add(m[1])
+                at = m.end() if close < 0 else close + 1
+        return self.page.find(">", begin)
+
+
 class Block:
-    __slots__ = ("article", "boilerplate", "heading", "linked", "parts")
+    __slots__ = ("article", "begun", "boilerplate", "heading", "linked", "parts")
 
     def __init__(self) -> None:
         self.parts: list[str] = []
-        self.linked, self.boilerplate, self.article, self.heading = 0, False, False, False
+        self.linked, self.boilerplate, self.article, self.heading, self.begun = 0, 0, False, False, False
+
+
+#: Kinds of boilerplate: none, only a form's, any other.
+PLAIN, FORM, OTHER = 0, 1, 2
 
 
-def blocks(page: str) -> list[tuple[str, float, int, bool, bool, bool]]:
-    """(text, link density, words, boilerplate, in article, heading) of each block that has text, in page order."""
-    out: list[tuple[str, float, int, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, and whether it or one around it is boilerplate, an article, unread
+def blocks(page: str) -> list[tuple[str, float, int, int, bool, bool]]:
+    """(text, link density, words, kind of boilerplate, in article, heading) of each block that has text, in page order."""
+    out: list[tuple[str, float, int, int, bool, bool]] = []
+    stack: list[tuple[str, int, bool, bool]] = []  # element, and of it and those around it: boilerplate, an article, unread
     open_of: dict[str, int] = {}
-    links, heading, block, low = 0, 0, Block(), page.lower() if "<" in page else page
+    links, heading, block, ends = 0, 0, Block(), Ends(page)
     at = 0
 
-    def state() -> tuple[bool, bool, bool]:
-        return stack[-1][1:] if stack else (False, False, False)
+    def state() -> tuple[int, bool, bool]:
+        return stack[-1][1:] if stack else (PLAIN, False, False)
 
     def add(text: str) -> None:
         if not text or state()[2]:
             return
         text = references.unescape(text)
         if text.strip():
-            if not block.parts or not "".join(block.parts).strip():
+            if not block.begun:
                 block.boilerplate, block.article = state()[:2]
-                block.heading = heading > 0
+                block.heading, block.begun = heading > 0, True
             if links:
                 block.linked += len(text.split())
         block.parts.append(text)
@@ -247,6 +282,9 @@ def blocks(page: str) -> list[tuple[str, float, int, bool, bool, bool]]:
             add(page[at : lt + 1])
             at = lt + 1
             continue
+        end = ends.of(m.end()) if m[2] else 0
+        if end < 0:
+            break  # no tag ends after this: the rest is text
         add(page[at:lt])
         at = m.end()
         if not m[2]:
@@ -254,7 +292,7 @@ def blocks(page: str) -> list[tuple[str, float, int, bool, bool, bool]]:
             end = page.find(mark, at)
             at = len(page) if end < 0 else end + len(mark)
             continue
-        name, closing = m[2].lower(), bool(m[1])
+        name, closing, rest, at = m[2].lower(), bool(m[1]), page[at:end], end + 1
         if name == "br":
             add(" ")
         elif name == "a":
@@ -263,7 +301,7 @@ def blocks(page: str) -> list[tuple[str, float, int, bool, bool, bool]]:
             flush()
         if name in HEADINGS:
             heading = 0 if closing else 1
-        if name in VOID or name in INLINE and not (m[3] and not closing):
+        if name in VOID or name in INLINE and not (rest and not closing):
             continue
         if closing:
             if open_of.get(name):
@@ -276,28 +314,33 @@ def blocks(page: str) -> list[tuple[str, float, int, bool, bool, bool]]:
                         links = 0
             continue
         boiler, article, unread = state()
-        attributes = _names(m[3]) if m[3] else {}
+        attributes = _names(rest) if rest else {}
         label = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+        if article and name in TEXTUAL:  # `related-work` or `notice-text` say nothing of an article's paragraph
+            label = " ".join(w for w in label.split() if all(map(NAMED.search, re.split("[-_]", w))))
         inside = name in ("article", "main") or attributes.get("role") in ("main", "article") or attributes.get("itemprop") == "articleBody" or bool(label.strip() and NAMED_ARTICLE.search(label))
-        bad = name in BOILERPLATE or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+        form = name in ("form", "fieldset") or attributes.get("role", "").lower() == "form"
+        bad = name in BOILERPLATE and not form or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         bad = bad or bool(label.strip()) and name not in ("html", "body") and bool(NAMED.search(label) or not article and not inside and NAMED_OUTSIDE.search(label))
         bad = bad or name == "header" and not article
         if name in RAW:
-            end = low.find(f"</{name}", at)
-            gt = page.find(">", end) if end >= 0 else -1
-            at = len(page) if end < 0 or gt < 0 else gt + 1
+            close = _RAW_END[name].search(page, at)
+            gt = page.find(">", close.end()) if close else -1
+            at = len(page) if gt < 0 else gt + 1
             continue
-        if name in INLINE and not bad or m[3].endswith("/") and name not in INLINE:
+        if name in INLINE and not bad or rest.endswith("/") and name not in INLINE:
             continue
         if name == "body":  # ends a head that was left open
             stack.clear()
             open_of.clear()
-            boiler, article, unread = False, False, False
+            boiler, article, unread = PLAIN, False, False
         if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and stack and stack[-1][0] == name:
             stack.pop()  # ended by the next of its kind
             open_of[name] -= 1
             boiler, article, unread = state()
-        stack.append((name, boiler or bad, article or inside, unread or name in UNREAD))
+        if name in ("article", "main") and boiler == FORM:
+            boiler = PLAIN
+        stack.append((name, max(boiler, OTHER if bad else FORM if form else PLAIN), article or inside, unread or name in UNREAD))
         open_of[name] = open_of.get(name, 0) + 1
     add(page[at:])
     flush()
@@ -306,6 +349,8 @@ def blocks(page: str) -> list[tuple[str, float, int, bool, bool, bool]]:
 
 def main_text(page: str | None, tree: Tree) -> str:
     found = blocks(page or "")
+    forms = any(b[3] == PLAIN for b in found)  # else a form wraps all that could be the text
+    found = [(t, d, w, kind == OTHER or forms and kind == FORM, a, h) for t, d, w, kind, a, h in found]
     has = any(article and not boiler for _, _, _, boiler, article, _ in found)
     edge = ("", 0.0, 0)
     kept = []

@@ -5,12 +5,13 @@ letters of the whole text. Loss-weighted decoding sums each bit's logistic loss,
 in training for that language, and takes the nearest codeword; if the second is nearly as near, the row is ambiguous.
 
 Null text or one without a letter gets `und`, score 0. Without labelled rows every text gets `und`. Equal texts get equal
-rows. Training takes a bounded sample: about `per_language` rows of each language, chosen by a hash of their text.
+rows. Training takes a bounded sample: about `per_language` distinct texts of each language, chosen by a hash of
+their text, and MOST_ROWS at most. Ties of languages go to the first in alphabetical order. Long texts are read whole. An empty
+table gives an empty one. Columns other than id and text are left out, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,6 @@ SLOTS = 1 << SLOTS_LOG2
 PER_LANGUAGE, MOST_ROWS = 400, 8000
 #: A second codeword whose loss exceeds the first's by less than this is too near.
 AMBIGUOUS = 0.05
-LETTER = re.compile(r"[^\W\d_]")
 _M1, _M2, _M3 = np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)
 #: ASCII that is no letter becomes a space.
 _LETTERS = np.array([b if chr(b).isalpha() or b > 127 else 32 for b in range(256)], np.uint8)
@@ -120,14 +120,16 @@ def _featured(rows: DataFrame, label: str, text: str) -> list:
 
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
-    """None without labelled rows. The sample: rows whose text's hash lies in the share of its language that gives per_language rows."""
+    """None without labelled rows. The sample: rows whose text's hash lies in the share of its language that gives about per_language distinct texts."""
     labelled = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("text is not null and label is not null")
-    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}  # as many rows as languages
+    texts = labelled.groupBy("label").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"))
+    counts = {r["label"]: max(1, r["n"]) for r in texts.collect()}  # as many rows as languages
     if not counts:
         return None
     languages = sorted(counts)
-    share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, per_language / counts[k]))])
-    drawn = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("label")] * float(1 << 30)).limit(MOST_ROWS)
+    share = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, min(per_language, MOST_ROWS / len(languages)) / counts[k]))])
+    drawn = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("label")] * float(1 << 30)).distinct()
+    drawn = drawn.orderBy(F.xxhash64("text", F.lit(1)), "label").limit(MOST_ROWS)
     rows = _featured(drawn, "label", "text")
     if not rows:
         return None
@@ -146,7 +148,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
         for batch in small_batches(batches, 1):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                lettered = np.array([bool(t and LETTER.search(t)) for t in part.column(1).to_pylist()])
+                lettered = np.array([bool(t) and any(map(str.isalpha, t)) for t in part.column(1).to_pylist()])
                 if model is None:
                     names, score, near = ["und"] * len(lettered), np.zeros(len(lettered)), np.ones(len(lettered), bool)
                 else:

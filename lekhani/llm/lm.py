@@ -1,39 +1,47 @@
 """Cross-entropy difference: a target and a background word-bigram model over one vocabulary score each document.
 
 Words (lower-cased A-Z, cut at white space) and pairs of neighbouring words are counted over whole texts, each under its own
-64-bit hash, in tables dealt over the cluster. A word's probability is its pair's count, with PRIOR times its own share added, over
-the count of the word before plus PRIOR; its own share is smoothed over the vocabulary (words of either side). The background counts are scaled to the target's number of words, so both are smoothed alike.
-A token's difference is log p_target - log p_background; a document's score is the mean over its words.
-
-Counts are summed in each task, then by pair; each text's distinct pairs are joined to them. Nothing is capped or shared
-but by equal 64-bit hashes, and nothing of the corpus's size is held in one place. Null or empty texts have no words and
-score 0. A word at a text's start follows a start sign. Equal texts get equal scores. Without target documents the models
-differ by nothing that a text shows: the score is then that of smoothing.
-
-`train` and `score` are the in-memory form for small corpora: the same counts in 2^bits hashed slots, which pairs may share.
+64-bit hash. A word's probability is its pair's count, with PRIOR times its own share added, over the count of the word
+before plus PRIOR; its own share is smoothed over the vocabulary (words of either side). The background counts are scaled to
+the target's number of words, so both are smoothed alike. A token's difference is log p_target - log p_background; a
+document's score is the mean over its words. Documents take part in the counts that score them, on both sides alike.
+
+Counts are exact: nothing is capped or shared but by equal 64-bit hashes. A pair's word decides its part; a part's pairs are
+summed, and with them the words' own counts and their counts as the word before, so a part scores its pairs alone. Tasks sum
+slices of texts first and send packed columns. Words and pairs with a share of 1 / HOT of all tokens, of which there can be
+HOT at most, are known to all tasks: hot words' pairs are dealt by the pair, and hot pairs are scored where they stand, so
+no part grows with one word's or one pair's share of the corpus.
+
+Null or empty texts have no words and score 0. A word at a text's start follows a start sign. Equal texts get equal scores
+(sums are over all copies of a text, known by 63 bits of its hash). Long texts are read whole, in slices of SLICE bytes or
+one text. Without target documents the models differ by nothing that a text shows: the score is then that of smoothing. An
+empty table gives an empty one. Columns other than id and text are left out, whatever their names. docs must be read in the
+same order each time a task is run again, as a table is.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lekhani.llm.common import LOWER, NOT_BLANK, discard, mix, settle, small_batches, span_hashes, table, text_bytes, word_spans
 
-#: Weight of a word's own share beside its pairs' counts, and what smoothing adds to each slot of the vocabulary.
+#: Weight of a word's own share beside its pairs' counts, and what smoothing adds to each word of the vocabulary.
 PRIOR, ADDED = 2.0, 0.05
-#: Passes in which `exact_scores` counts and joins pairs, each over its share of the hashes: bounds the rows on disk at a time.
-PASSES = 4
-#: In-memory form only. Slots for pairs: one for so many bytes of text, within these bounds (bits). Words have a quarter of them.
-BYTES_A_SLOT, LEAST_SLOTS_LOG2, MOST_SLOTS_LOG2 = 64, 14, 22
-#: Slots whose counts travel together.
-BLOCK = 1 << 12
+#: Passes over the texts, each over its share of the parts: bounds the rows on disk at a time.
+PASSES = 2
+#: Hot words and hot pairs: at most so many of each.
+HOT = 1 << 16
+#: Bytes of text that are summed together, and tokens of a part.
+SLICE, PART_TOKENS = 1 << 23, 1 << 21
 _START = np.uint64(0x243F6A8885A308D3)
+_32 = np.uint64(32)
+#: Kinds of packed rows: a part's counts, entries of texts that ask for them, sums that are ready.
+COUNTS, ENTRIES, SUMS = 0, 1, 2
 
 
 def hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -48,175 +56,256 @@ def hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return h, before, mix(before * np.uint64(0x9E3779B97F4A7C15) + h), first
 
 
-def tokens(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of each word, of the word before it, of the pair; and for each text the index of its first word (n + 1 values)."""
-    h, before, pair, first = hashes(column)
-    word_shift, pair_shift = np.uint64(64 - bits + 2), np.uint64(64 - bits)
-    return (h >> word_shift).astype(np.int64), (before >> word_shift).astype(np.int64), (pair >> pair_shift).astype(np.int64), first
+def _last(first: np.ndarray) -> np.ndarray:
+    """True for the last word of each text."""
+    out = np.zeros(first[-1], bool)
+    out[first[1:][first[1:] > first[:-1]] - 1] = True
+    return out
 
 
-def counts(docs: DataFrame, bits: int, text_col: str) -> DataFrame:
-    """kind (0 a word, 1 the word before, 2 a pair), block, n (the packed counts of BLOCK slots): over all texts.
+def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of wanted values in the sorted known ones, and whether they are there."""
+    if not len(known):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
 
-    A task counts what it reads in arrays and sends each block once, packed; blocks are then summed wherever they meet.
-    """
-    sizes = [1 << bits - 2, 1 << bits - 2, 1 << bits]
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "kind int, block int, n binary"
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros(size, np.int64) for size in sizes]
-        for batch in small_batches(batches, 0):
-            for total, found in zip(sums, tokens(batch.column(0), bits)[:3], strict=True):
-                np.add(total, np.bincount(found, minlength=len(total)), out=total)
-        yield from packed({(kind, at): total[at * BLOCK : (at + 1) * BLOCK] for kind, total in enumerate(sums) for at in range(-(-len(total) // BLOCK))})
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return np.flatnonzero(new)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for kind, block, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = np.frombuffer(zlib.decompress(n), np.int64)
-                sums[kind, block] = sums[kind, block] + part if (kind, block) in sums else part
-        yield from packed(sums)
-
-    def packed(sums: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for (kind, block), total in sums.items():
-            if total.any():
-                yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["kind", "block", "n"])
-
-    return docs.select(text_col).mapInArrow(read, schema).repartition(width, "kind", "block").mapInArrow(add, schema)
-
-
-class Models:
-    """Counts of both models in arrays by slot."""
-
-    def __init__(self, bits: int, target: list[np.ndarray], background: list[np.ndarray]):
-        total_t, total_b = target[0].sum(), background[0].sum()
-        scale = total_t / total_b if total_t and total_b else 1.0
-        self.bits = bits
-        self.sides = []
-        for arrays, factor in ((target, 1.0), (background, scale)):
-            word, before, pair = (a * factor for a in arrays)
-            self.sides.append(tuple(x.astype(np.float32) for x in ((word + ADDED) / (word.sum() + ADDED * len(word)), before, pair)))
-
-    def losses(self, column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-        """-log p of each token, by the target and the background model; and each text's first token."""
-        word, before, pair, first = tokens(column, self.bits)
-        out = []
-        for own, context, pairs in self.sides:
-            share = pairs[pair].astype(float) + PRIOR * own[word]
-            out.append(-np.log(share / (context[before] + PRIOR)))
-        return out, first
-
-
-def slot_bits(docs: DataFrame, text_col: str) -> int:
-    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
-    return int(np.clip(np.ceil(np.log2(max(size, 1) / BYTES_A_SLOT)), LEAST_SLOTS_LOG2, MOST_SLOTS_LOG2))
-
-
-def train(target: DataFrame, background: DataFrame, text_col: str = "text", bits: int | None = None) -> Models:
-    bits = bits or slot_bits(background, text_col)
-    sides = []
-    for docs in (target, background):
-        arrays = [np.zeros(1 << bits - 2), np.zeros(1 << bits - 2), np.zeros(1 << bits)]
-        for r in counts(docs, bits, text_col).collect():  # 1.5 * 2 ** MOST_SLOTS_LOG2 counts at most, packed
-            arrays[r["kind"]][r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["n"]), np.int64)
-        sides.append(arrays)
-    return Models(bits, *sides)
-
-
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, target_loss and background_loss (nats a word), score (their difference; more is nearer the target)."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        for batch in small_batches(batches, 1):
-            losses, first = models.losses(batch.column(1))
-            n = first[1:] - first[:-1]
-            means = []
-            for loss in losses:
-                total = np.concatenate([[0.0], np.cumsum(loss)])
-                means.append((total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1))
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(means[0]), pa.array(means[1]), pa.array(means[1] - means[0])], ["id", "n_tokens", "target_loss", "background_loss", "score"])
+class Totals:
+    """What all tasks know: totals of both sides, and the counts (own, and as the word before) of hot words. Column 0 is the target's."""
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
+    def __init__(self, rows: list, vocabulary: int, tokens: tuple[int, int], parts: int):
+        rows = sorted((np.uint64(r["word"] & (1 << 64) - 1), r) for r in rows)
+        self.words = np.array([w for w, _ in rows], np.uint64)
+        self.own = np.array([(r["t"], r["b"]) for _, r in rows], np.int64).reshape(-1, 2)
+        self.before = self.own - np.array([(r["tl"], r["bl"]) for _, r in rows], np.int64).reshape(-1, 2)
+        self.parts = parts
+        self.scale = np.array([1.0, tokens[0] / tokens[1] if tokens[0] and tokens[1] else 1.0])
+        self.spread = np.array(tokens) * self.scale + ADDED * max(vocabulary, 1)
 
+    def part(self, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """The part of each pair: by its word, or by itself where the word is hot."""
+        key = mix(np.where(_find(self.words, word)[1], pair, word) ^ np.uint64(0x5851F42D4C957F2D))
+        return ((key >> _32) * np.uint64(self.parts) >> _32).astype(np.int64)
 
-def _pair_counts(docs: DataFrame, text_col: str, part: int) -> DataFrame:
-    """word, before, n: the pairs of one pass, summed within slices of a task's texts."""
+    def log_before(self, counts: np.ndarray) -> np.ndarray:
+        return np.log(counts * self.scale + PRIOR)
+
+    def log_share(self, pairs: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return np.log(pairs * self.scale + PRIOR * (own * self.scale + ADDED) / self.spread)
+
+
+def _word_rows(texts: DataFrame) -> DataFrame:
+    """texts: side, text. word, t, b, tl, bl: counts of words and of those that end a text, by side; the start sign ends minus one for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 0, 1 << 23):
-            h, before, pair, _ = hashes(batch.column(0))
-            own = pair % np.uint64(PASSES) == part
-            _, at, n = np.unique(pair[own], return_index=True, return_counts=True)
-            yield pa.record_batch([pa.array(x.astype(np.int64)) for x in (h[own][at], before[own][at], n)], ["word", "before", "n"])
+        for batch in small_batches(batches, 1, SLICE):
+            h, _, _, first = hashes(batch.column(1))
+            side = np.repeat(np.asarray(batch.column(0)), np.diff(first))
+            words, at = np.unique(h, return_inverse=True)
+            last = _last(first)
+            four = [np.bincount(at, (side == s) & keep, len(words)).astype(np.int64) for keep in (np.ones(len(h), bool), last) for s in (0, 1)]
+            begun = np.bincount(np.asarray(batch.column(0)), first[1:] > first[:-1], 2).astype(np.int64)
+            words, four = np.append(words, _START), [np.append(x, v) for x, v in zip(four, (0, 0, -begun[0], -begun[1]), strict=True)]
+            yield pa.record_batch([pa.array(words.astype(np.int64)), *map(pa.array, four)], ["word", "t", "b", "tl", "bl"])
+
+    rows = texts.select("side", "text").mapInArrow(run, "word long, t long, b long, tl long, bl long")
+    return rows.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("t", "b", "tl", "bl")))
+
+
+_PACKED = "part int, kind int, a binary, b binary, c binary, d binary"
 
-    return docs.select(text_col).mapInArrow(run, "word long, before long, n long")
 
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    part, kind, *data = zip(*rows, strict=True) if rows else [()] * 6
+    return pa.record_batch([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in data)], ["part", "kind", "a", "b", "c", "d"])
 
-def _pair() -> Column:
-    """One column for a pair, where rows are joined."""
-    return F.xxhash64("word", "before").alias("pair")
 
+def _cut(part: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Packed rows of columns that are sorted by part."""
+    at = _runs(part)
+    for lo in range(0, len(at), 256):
+        ends = np.append(at[lo + 1 : lo + 257], len(part))[: len(at) - lo][:256]
+        yield _packed([(int(part[a]), kind, *(c[a:b] for c in columns)) for a, b in zip(at[lo : lo + 256], ends, strict=True)])
 
-def _pair_uses(docs: DataFrame, part: int) -> DataFrame:
-    """docs: key, text. key, pair, times: each text's distinct pairs of one pass."""
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionById(width, F.col("part")).sortWithinPartitions("part", "kind")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes]]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), [batch.column(c)[i].as_py() for c in range(2, 6)]
+
+
+def _pair_counts(texts: DataFrame, totals: Totals, mine: range) -> DataFrame:
+    """texts: side, text. One packed row for each part of one pass: pairs (sorted), their counts, their words' places, the words' counts."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1, SLICE):
+            h, _, pair, first = hashes(batch.column(1))
+            side = np.repeat(np.asarray(batch.column(0)), np.diff(first))
+            order = np.argsort(pair)
+            at = _runs(pair[order])
+            if not len(at):
+                continue
+            last = _last(first)
+            counts = np.stack([np.add.reduceat(x[order], at, dtype=np.uint32) for x in (side == 0, side == 1, (side == 0) & last, (side == 1) & last)], 1)
+            pair, word = pair[order][at], h[order][at]
+            part = totals.part(word, pair)
+            own = np.flatnonzero((part >= mine.start) & (part < mine.stop))
+            own = own[np.lexsort((word[own], part[own]))]
+            yield from _cut(part[own], COUNTS, pair[own], word[own], counts[own], counts[:0])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, []
+        for part, _, data in _grouped(batches):
+            if part != now and group:
+                yield summed(now, group)
+                group = []
+            now = part
+            group.append(data)
+        if group:
+            yield summed(now, group)
+
+    def summed(part: int, group: list) -> pa.RecordBatch:
+        pair, word = (np.concatenate([np.frombuffer(g[i], np.uint64) for g in group]) for i in (0, 1))
+        counts = np.concatenate([np.frombuffer(g[2], np.uint32).reshape(-1, 4) for g in group])
+        order = np.argsort(pair)
+        at = _runs(pair[order])
+        counts = np.add.reduceat(counts[order].astype(np.int64), at)
+        words, place = np.unique(word[order][at], return_inverse=True)
+        own = np.stack([np.bincount(place, counts[:, i], len(words)) for i in range(4)], 1).astype(np.int64)
+        own[:, 2:] = own[:, :2] - own[:, 2:]  # a word is the word before wherever it ends no text
+        known, hot = _find(totals.words, words)
+        own[hot, :2], own[hot, 2:] = totals.own[known[hot]], totals.before[known[hot]]
+        return _packed([(part, COUNTS, pair[order][at], counts[:, :2].astype(np.int64), place.astype(np.int32), own)])
+
+    return _dealt(texts.mapInArrow(send, _PACKED)).mapInArrow(add, _PACKED)
+
+
+def _hot_pairs(counted: DataFrame, least: float) -> list:
+    """pair, t, b of the pairs that occur so often in both sides together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 1):
-            h, before, pair, first = hashes(batch.column(1))
-            row = np.repeat(np.arange(batch.num_rows), first[1:] - first[:-1])
-            own = pair % np.uint64(PASSES) == part
-            h, before, pair, row = h[own], before[own], pair[own], row[own]
-            order = np.lexsort((pair, row))
-            h, before, pair, row = h[order], before[order], pair[order], row[order]
-            new = np.ones(len(pair), bool)
-            new[1:] = (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])
-            at = np.flatnonzero(new)
-            times = np.diff(np.append(at, len(pair)))
-            yield pa.record_batch([batch.column(0).take(pa.array(row[at])), pa.array(h[at].astype(np.int64)), pa.array(before[at].astype(np.int64)), pa.array(times.astype(np.int32))], ["key", "word", "before", "times"])
-
-    return docs.select("key", "text").mapInArrow(run, "key long, word long, before long, times int").select("key", _pair(), "times")
+        for _, _, (pair, counts, _, _) in _grouped(batches):
+            pair, counts = np.frombuffer(pair, np.uint64), np.frombuffer(counts, np.int64).reshape(-1, 2)
+            hot = counts.sum(1) >= least
+            yield pa.record_batch([pa.array(pair[hot].astype(np.int64)), pa.array(counts[hot, 0]), pa.array(counts[hot, 1])], ["pair", "t", "b"])
+
+    return counted.mapInArrow(run, "pair long, t long, b long").collect()  # HOT rows at most
+
+
+def _sums(docs: DataFrame, counted: DataFrame, totals: Totals, hot: list, mine: range) -> DataFrame:
+    """docs: key, text. key, n, t, b: parts of the sums of losses of each text, over the pairs of one pass."""
+    hot = sorted((np.uint64(r["pair"] & (1 << 64) - 1), r["t"], r["b"]) for r in hot)
+    hot_pairs, hot_counts = np.array([r[0] for r in hot], np.uint64), np.array([r[1:] for r in hot], np.int64).reshape(-1, 2)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin = totals.log_before(totals.before[np.flatnonzero(totals.words == _START)[0]])
+        for batch in small_batches(batches, 1, SLICE):
+            h, _, pair, first = hashes(batch.column(1))
+            if not len(h):
+                continue
+            last, key = _last(first), np.asarray(batch.column(0)).astype(np.uint64)
+            doc = np.repeat(np.arange(len(key)), np.diff(first))
+            at, here = _find(hot_pairs, pair)
+            part = np.where(here, -1, totals.part(h, pair))
+            place, _ = _find(totals.words, h[here])  # a hot pair's word is hot
+            loss = totals.log_before(totals.before[place]) * ~last[here, None] - totals.log_share(hot_counts[at[here]], totals.own[place])
+            whole = np.stack([np.bincount(doc[here], loss[:, i], len(key)) for i in (0, 1)], 1)
+            n = np.diff(first)
+            if mine.start:  # lengths and starts count in the first pass
+                n = n * 0
+            whole = whole + (n > 0)[:, None] * begin
+            some = np.flatnonzero(whole.any(1) | (n > 0))
+            if len(some):
+                yield _packed([(int(key[0] >> _32), SUMS, key[some], n[some].astype(np.int64), whole[some], n[:0])])
+            own = np.flatnonzero((part >= mine.start) & (part < mine.stop))
+            if not len(own):
+                continue
+            own = own[np.argsort(part[own].astype(np.int32), kind="stable")]  # texts stay together within a part
+            part, doc, last, pair = part[own], doc[own], last[own], pair[own]
+            cuts = _runs(part * len(key) + doc)
+            # Each row of a part: its texts, the number of entries of each, the entries' pairs, whether they end their text.
+            runs, ends = np.diff(np.append(cuts, len(own))), _runs(part)
+            for lo, hi in zip(ends, np.append(ends[1:], len(own)), strict=True):
+                a, b = np.searchsorted(cuts, [lo, hi])
+                yield _packed([(int(part[lo]), ENTRIES, pair[lo:hi], key[doc[cuts[a:b]]], runs[a:b].astype(np.int32), last[lo:hi])])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for part, kind, data in _grouped(batches):
+            if kind == SUMS:
+                key, n, loss = (np.frombuffer(x, t) for x, t in zip(data, (np.uint64, np.int64, np.float64), strict=False))
+                yield rows(key, n, loss.reshape(-1, 2))
+            elif kind == COUNTS:
+                now, known, own = part, np.frombuffer(data[0], np.uint64), np.frombuffer(data[3], np.int64).reshape(-1, 4)
+                counts, place = np.frombuffer(data[1], np.int64).reshape(-1, 2), np.frombuffer(data[2], np.int32)
+                share, follow = -totals.log_share(counts, own[place, :2]), totals.log_before(own[:, 2:])
+            else:
+                assert part == now  # each pair was counted
+                at = np.searchsorted(known, np.frombuffer(data[0], np.uint64))
+                loss = share[at] + follow[place[at]] * ~np.frombuffer(data[3], bool)[:, None]
+                runs = np.frombuffer(data[2], np.int32)
+                yield rows(np.frombuffer(data[1], np.uint64), np.zeros(len(runs), np.int64), np.add.reduceat(loss, np.cumsum(runs) - runs))
+
+    def rows(key: np.ndarray, n: np.ndarray, loss: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(key.astype(np.int64)), pa.array(n), pa.array(loss[:, 0]), pa.array(loss[:, 1])], ["key", "n", "t", "b"])
+
+    parts = _dealt(counted.union(docs.mapInArrow(ask, _PACKED))).mapInArrow(answer, "key long, n long, t double, b double")
+    return parts.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n", "t", "b")))
+
+
+def _key(text_col: str):
+    """63 bits of the text's hash; texts that aren't there share that of the empty one."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(text_col, F.lit(""))), 1)
 
 
 def exact_scores(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As score(), by exact counts of every word and pair: joins only, at any size of the corpus. docs are the background too."""
-    both = ("t", "b")
-    target = settle(target.select(text_col))  # read in each pass
-    pairs = []
-    for part in range(PASSES):
-        t, b = (_pair_counts(side, text_col, part) for side in (target, docs))
-        rows = t.select("word", "before", F.col("n").alias("t"), F.lit(0).cast("long").alias("b")).union(b.select("word", "before", F.lit(0).cast("long"), "n"))
-        pairs.append(settle(rows.groupBy("word", "before").agg(*(F.sum(c).alias(c) for c in both))))
-    every = pairs[0]
-    for more in pairs[1:]:
+    """Per row: id, n_tokens, target_loss and background_loss (nats a word), score (their difference; more is nearer the target).
+
+    docs are the background and what is scored.
+    """
+    target = settle(target.select(F.lit(0).alias("side"), F.col(text_col).alias("text")))  # read in each pass
+    texts = target.union(docs.select(F.lit(1).alias("side"), F.col(text_col).alias("text")))
+    words = settle(_word_rows(texts))
+    size, *tokens = words.agg(F.sum((F.col("t") + F.col("b") > 0).cast("long")), F.sum("t"), F.sum("b")).first()  # three numbers
+    size, tokens = size or 0, tuple(x or 0 for x in tokens)
+    least = max(1.0, sum(tokens) / HOT)
+    start = int(_START.astype(np.int64))
+    hot_words = words.where((F.col("t") + F.col("b") >= least) | (F.col("word") == start)).collect()  # HOT + 1 rows at most
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = max(width, -(-sum(tokens) // (PASSES * PART_TOKENS)))
+    totals = Totals(hot_words, size, tokens, each * PASSES)
+    passes = [range(i * each, (i + 1) * each) for i in range(PASSES)]
+    discard(words)
+    keyed = docs.select(_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    sums = []
+    if hot_words:
+        for mine in passes:
+            counted = settle(_pair_counts(texts, totals, mine))
+            sums.append(settle(_sums(keyed, counted, totals, _hot_pairs(counted, least), mine), counted))
+    discard(target)
+    out = docs.select(F.col(id_col), _key(text_col).alias("key"))
+    if not sums:
+        return out.select(id_col, F.lit(0).cast("long").alias("n_tokens"), *(F.lit(0.0).alias(c) for c in ("target_loss", "background_loss", "score")))
+    every = sums[0]
+    for more in sums[1:]:
         every = every.union(more)
-    words = settle(every.groupBy("word").agg(*(F.sum(c).alias(f"word_{c}") for c in both)))
-    contexts = settle(every.groupBy("before").agg(*(F.sum(c).alias(f"before_{c}") for c in both)))
-    size, total_t, total_b = words.agg(F.count("*"), F.sum("word_t"), F.sum("word_b")).first()  # three numbers
-    scale = {"t": 1.0, "b": total_t / total_b if total_t and total_b else 1.0}
-    total = {"t": total_t or 0, "b": total_b or 0}
-
-    def loss(c: str) -> Column:
-        own = (F.col(f"word_{c}") * F.lit(scale[c]) + ADDED) / F.lit(total[c] * scale[c] + ADDED * max(size, 1))
-        return -F.log((F.col(c) * F.lit(scale[c]) + PRIOR * own) / (F.col(f"before_{c}") * F.lit(scale[c]) + PRIOR))
-
-    texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    sums = None
-    for part, counted in enumerate(pairs):
-        model = settle(counted.join(words, "word").join(contexts, "before").select(_pair(), loss("t").alias("t"), loss("b").alias("b")))
-        discard(counted)
-        used = _pair_uses(texts, part).join(model, "pair")  # each pair of docs was counted
-        own = settle(used.groupBy("key").agg(F.sum("times").alias("n"), *(F.sum(F.col("times") * F.col(c)).alias(c) for c in both)))
-        discard(model)
-        sums = own if sums is None else sums.union(own)
-    # Equal texts share a key; sums are over all copies.
-    copies = texts.groupBy("key").agg(F.count("*").alias("copies"))
-    sums = settle(sums.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n", *both))).join(copies, "key").select("key", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), (F.col("t") / F.col("n")).alias("target_loss"), (F.col("b") / F.col("n")).alias("background_loss")))
-    out = docs.select(F.col(id_col), F.xxhash64(text_col).alias("key")).join(sums, "key", "left").na.fill(0, ["n_tokens", "target_loss", "background_loss"])
+    copies = keyed.groupBy("key").agg(F.count("*").alias("copies"))
+    every = every.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n", "t", "b"))).join(copies, "key")
+    every = settle(every.select("key", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), (F.col("t") / F.col("n")).alias("target_loss"), (F.col("b") / F.col("n")).alias("background_loss")), *sums)
+    out = out.join(every, "key", "left").na.fill(0, ["n_tokens", "target_loss", "background_loss"])
     return out.select(id_col, "n_tokens", "target_loss", "background_loss", (F.col("background_loss") - F.col("target_loss")).alias("score"))
 
 

@@ -4,13 +4,20 @@ import math
 import random
 from collections import Counter
 
+import pytest
+
 from lekhani.llm import lm
 
 
-def test_counts_are_exact(spark, tmp_path):
+@pytest.mark.parametrize(("hot", "slice_bytes", "part_tokens"), [(lm.HOT, lm.SLICE, lm.PART_TOKENS), (300, 5000, 1000), (1, 1, 1 << 30)])
+def test_counts_are_exact(spark, tmp_path, monkeypatch, hot, slice_bytes, part_tokens):
+    """Also with few hot words and pairs, in many slices and parts."""
+    for name, value in (("HOT", hot), ("SLICE", slice_bytes), ("PART_TOKENS", part_tokens)):
+        monkeypatch.setattr(lm, name, value)
     rng = random.Random(8)
     words = [f"w{i}" for i in range(3000)]
     rows = [(i, " ".join(rng.choice(words) for _ in range(100))) for i in range(300)]
+    rows += [(i, " ".join(rng.choice(words[:3]) if rng.random() < 0.4 else rng.choice(words) for _ in range(400))) for i in range(304, 340)]
     rows += [(300, rows[0][1]), (301, None), (302, ""), (303, "one"), (303, "One two"), (None, "w1 w2")]
     good = range(0, 100)
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")

@@ -63,14 +63,28 @@ def _last(first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _places(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """searchsorted of many values, which are looked up in their order: neighbours find the same memory."""
+    order = np.argsort(wanted)
+    at = np.empty(len(wanted), np.int64)
+    at[order] = np.searchsorted(known, wanted[order])
+    return at
+
+
 def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places of wanted values in the sorted known ones, and whether they are there."""
     if not len(known):
         return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    at = np.minimum(_places(known, wanted), len(known) - 1)
     return at, known[at] == wanted
 
 
+def _by_part(part: np.ndarray) -> np.ndarray:
+    """A stable order by part; of few parts by counting."""
+    part = part - part.min() if len(part) else part
+    return np.argsort(part.astype(np.int16 if len(part) and part.max() < 1 << 15 else np.int32), kind="stable")
+
+
 def _runs(values: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
     new = np.ones(len(values), bool)
@@ -163,7 +177,8 @@ def _pair_counts(texts: DataFrame, totals: Totals, mine: range) -> DataFrame:
             pair, word = pair[order][at], h[order][at]
             part = totals.part(word, pair)
             own = np.flatnonzero((part >= mine.start) & (part < mine.stop))
-            own = own[np.lexsort((word[own], part[own]))]
+            own = own[np.argsort(word[own])]  # equal words side by side are compressed
+            own = own[_by_part(part[own])]
             yield from _cut(part[own], COUNTS, pair[own], word[own], counts[own], counts[:0])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,42 +243,61 @@ def _sums(docs: DataFrame, counted: DataFrame, totals: Totals, hot: list, mine:
                 n = n * 0
             whole = whole + (n > 0)[:, None] * begin
             some = np.flatnonzero(whole.any(1) | (n > 0))
+            mark = int(key[0] >> _32)  # where the slice's sums meet
+            slice_of = np.frombuffer(mark.to_bytes(4, "little"), np.uint8)
             if len(some):
-                yield _packed([(int(key[0] >> _32), SUMS, key[some], n[some].astype(np.int64), whole[some], n[:0])])
+                yield _packed([(mark, SUMS, key[some], n[some].astype(np.int64), whole[some], n[:0])])
             own = np.flatnonzero((part >= mine.start) & (part < mine.stop))
             if not len(own):
                 continue
-            own = own[np.argsort(part[own].astype(np.int32), kind="stable")]  # texts stay together within a part
+            own = own[_by_part(part[own])]  # texts stay together within a part
             part, doc, last, pair = part[own], doc[own], last[own], pair[own]
             cuts = _runs(part * len(key) + doc)
-            # Each row of a part: its texts, the number of entries of each, the entries' pairs, whether they end their text.
+            # Each row of a part: its texts, the number of entries of each, the entries' pairs, whether they end their text (and the slice).
             runs, ends = np.diff(np.append(cuts, len(own))), _runs(part)
             for lo, hi in zip(ends, np.append(ends[1:], len(own)), strict=True):
                 a, b = np.searchsorted(cuts, [lo, hi])
-                yield _packed([(int(part[lo]), ENTRIES, pair[lo:hi], key[doc[cuts[a:b]]], runs[a:b].astype(np.int32), last[lo:hi])])
+                yield _packed([(int(part[lo]), ENTRIES, pair[lo:hi], key[doc[cuts[a:b]]], runs[a:b].astype(np.int32), np.append(last[lo:hi].view(np.uint8), slice_of))])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None
         for part, kind, data in _grouped(batches):
             if kind == SUMS:
-                key, n, loss = (np.frombuffer(x, t) for x, t in zip(data, (np.uint64, np.int64, np.float64), strict=False))
-                yield rows(key, n, loss.reshape(-1, 2))
+                yield _packed([(part, SUMS, *(np.frombuffer(x, np.uint8) for x in data))])
             elif kind == COUNTS:
                 now, known, own = part, np.frombuffer(data[0], np.uint64), np.frombuffer(data[3], np.int64).reshape(-1, 4)
                 counts, place = np.frombuffer(data[1], np.int64).reshape(-1, 2), np.frombuffer(data[2], np.int32)
                 share, follow = -totals.log_share(counts, own[place, :2]), totals.log_before(own[:, 2:])
             else:
                 assert part == now  # each pair was counted
-                at = np.searchsorted(known, np.frombuffer(data[0], np.uint64))
-                loss = share[at] + follow[place[at]] * ~np.frombuffer(data[3], bool)[:, None]
-                runs = np.frombuffer(data[2], np.int32)
-                yield rows(np.frombuffer(data[1], np.uint64), np.zeros(len(runs), np.int64), np.add.reduceat(loss, np.cumsum(runs) - runs))
+                at = _places(known, np.frombuffer(data[0], np.uint64))
+                loss = share[at] + follow[place[at]] * ~np.frombuffer(data[3][:-4], bool)[:, None]
+                runs, key = np.frombuffer(data[2], np.int32), np.frombuffer(data[1], np.uint64)
+                slice_of = int.from_bytes(data[3][-4:], "little")
+                yield _packed([(slice_of, SUMS, key, np.zeros(len(runs), np.int64), np.add.reduceat(loss, np.cumsum(runs) - runs), runs[:0])])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, []
+        for part, _, data in _grouped(batches):
+            if part != now and group:
+                yield summed(group)
+                group = []
+            now = part
+            group.append([np.frombuffer(x, t) for x, t in zip(data, (np.uint64, np.int64, np.float64), strict=False)])
+        if group:
+            yield summed(group)
+
+    def summed(group: list) -> pa.RecordBatch:
+        key, n, loss = (np.concatenate([g[i] for g in group]) for i in range(3))
+        order = np.argsort(key, kind="stable")
+        at = _runs(key[order])
+        return rows(key[order][at], np.add.reduceat(n[order], at), np.add.reduceat(loss.reshape(-1, 2)[order], at))
 
     def rows(key: np.ndarray, n: np.ndarray, loss: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch([pa.array(key.astype(np.int64)), pa.array(n), pa.array(loss[:, 0]), pa.array(loss[:, 1])], ["key", "n", "t", "b"])
 
-    parts = _dealt(counted.union(docs.mapInArrow(ask, _PACKED))).mapInArrow(answer, "key long, n long, t double, b double")
-    return parts.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n", "t", "b")))
+    parts = _dealt(counted.union(docs.mapInArrow(ask, _PACKED))).mapInArrow(answer, _PACKED)
+    return _dealt(parts).mapInArrow(add, "key long, n long, t double, b double").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("n", "t", "b")))
 
 
 def _key(text_col: str):

@@ -100,7 +100,7 @@ def tune(points: list[dict], quality: Callable[[dict], float]) -> tuple[dict, li
     return tried[best][0], tried
 
 
-#: Stages of sparse tuning: (system, forms, axes), each starting from the best so far.
+#: The grid of the tuning protocol. Stages of sparse tuning: (system, forms, axes), each starting from the best so far.
 PROTOCOL = [
     ("B1", ["F1"], {"k1": [0.6, 0.9, 1.2, 1.5, 1.8], "b": [0.3, 0.5, 0.75, 0.9]}),
     ("S1", ["F1", "F2", "F3"], {"w_dhvani": [0.5, 1.0, 1.5, 2.0, 3.0, 4.0]}),

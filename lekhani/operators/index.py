@@ -7,10 +7,13 @@ place after the title's end, so no phrase crosses from one to the other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lekhani.functions import romanize as R
 from lekhani.functions import text as T
 
 ZONES = ["all", "title", "dhvani", "soundex", "nostem", "raw"]
@@ -36,22 +39,59 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 
 def terms_of(token: Column) -> dict[str, Column]:
-    """The term of a token that isn't a stop word, by zone; "" is none."""
-    return {"all": T.stem(token), "nostem": token, "dhvani": T.phonetic_key(token), "soundex": T.soundex(token)}
+    """The term of a token that isn't a stop word, by zone; "" is none. For query tokens; a corpus takes them from its dictionary."""
+    return {"all": T.stem(token), "nostem": token, "dhvani": T.phonetic_key(token), "soundex": T.soundex(token, R.romanize(token))}
+
+
+def dictionary(tokens: DataFrame) -> DataFrame:
+    """tokens: token. One row for each distinct token: stop, stem, key, sdx. Only here are tokens analysed, romanised ones in Python."""
+    made = terms_of(F.col("token"))
+    return tokens.select("token").distinct().select("token", T.is_stop(F.col("token")).alias("stop"), made["all"].alias("stem"), made["dhvani"].alias("key"), made["soundex"].alias("sdx"))
+
+
+#: Columns of the dictionary that hold the zones' terms.
+TERM = {"all": "stem", "title": "stem", "dhvani": "key", "soundex": "sdx", "nostem": "token"}
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """doc_id, token, in_title, tf, positions (sorted): one row for each token of a document."""
+    return tokens(docs).groupBy("doc_id", "token", "in_title").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+
+
+def _raw(docs: DataFrame) -> DataFrame:
+    words = T.white_words(F.concat_ws(" ", "title", "body"))
+    return docs.select("doc_id", F.posexplode(words).alias("position", "term")).select(F.lit("raw").alias("zone"), "term", "doc_id", "position")
+
+
+def _entries(zones: list[str]) -> Column:
+    cooked = [z for z in zones if z != "raw"]
+    return F.array(*(F.struct(F.lit(z).alias("zone"), F.col(TERM[z]).alias("term"), (F.col("in_title") if z == "title" else F.lit(True)).alias("ok")) for z in cooked))
 
 
 def zone_terms(docs: DataFrame, zones: list[str] = ZONES) -> DataFrame:
     """zone, term, doc_id, position: one row for each place."""
     out = None
-    cooked = [z for z in zones if z != "raw"]
-    if cooked:
-        own = tokens(docs).where(~T.is_stop(F.col("token")))
-        made = terms_of(F.col("token"))
-        entries = [F.struct(F.lit(z).alias("zone"), made["all" if z == "title" else z].alias("term"), (F.col("in_title") if z == "title" else F.lit(True)).alias("ok")) for z in cooked]
-        out = own.select("doc_id", "position", F.inline(F.array(*entries))).where("ok and term <> ''").select("zone", "term", "doc_id", "position")
+    if set(zones) != {"raw"}:
+        every = tokens(docs)
+        own = every.join(dictionary(every).where("not stop"), "token")
+        out = own.select("doc_id", "position", F.inline(_entries(zones))).where("ok and term <> ''").select("zone", "term", "doc_id", "position")
+    if "raw" in zones:
+        out = _raw(docs) if out is None else out.unionByName(_raw(docs))
+    return out
+
+
+def zone_postings(docs: DataFrame, zones: list[str] = ZONES, positions: bool = True, found: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
+    """zone, term, doc_id, tf and, if asked for, the sorted positions (of the zones in POSITIONAL). found, words: occurrences and dictionary, if written."""
+    out = None
+    if set(zones) != {"raw"}:
+        found = occurrences(docs) if found is None else found
+        words = dictionary(found) if words is None else words
+        own = found.join(words.where("not stop"), "token").select("doc_id", "tf", "positions", F.inline(_entries(zones))).where("ok and term <> ''")
+        places = F.sort_array(F.flatten(F.collect_list(F.when(F.col("zone").isin(POSITIONAL), F.col("positions"))))).alias("positions")
+        out = own.groupBy("zone", "term", "doc_id").agg(F.sum("tf").alias("tf"), *([places] if positions else []))
     if "raw" in zones:
-        words = T.white_words(F.concat_ws(" ", "title", "body"))
-        raw = docs.select("doc_id", F.posexplode(words).alias("position", "term")).select(F.lit("raw").alias("zone"), "term", "doc_id", "position")
+        raw = postings(_raw(docs))
+        raw = raw.withColumn("positions", F.array().cast("array<int>")) if positions else raw
         out = raw if out is None else out.unionByName(raw)
     return out
 
@@ -93,20 +133,17 @@ class Index:
 
     TABLES = ["postings", "term_stats", "doc_stats", "zone_stats", "champions"]
 
-    def __init__(self, docs: DataFrame, zones: list[str] = ZONES, positions: bool = True, tables: dict[str, DataFrame] | None = None, wanted: DataFrame | None = None, cache: bool = False):
-        """wanted: zone, term of the queries at hand; then only their postings are made, lengths still count all terms. cache: keep both once computed."""
-        keep = (lambda df: df.persist()) if cache else (lambda df: df)
+    def __init__(self, docs: DataFrame, zones: list[str] = ZONES, positions: bool = True, tables: dict[str, DataFrame] | None = None, keep: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None):
+        """keep(name, make): where a table's rows are to be taken from; otherwise they are made anew by each plan that reads them."""
+        keep = keep or (lambda _, make: make())
         self.docs, self.zones = docs, zones
-        if tables is None and wanted is not None:
-            terms = zone_terms(docs, zones)
-            post = keep(postings(terms.join(wanted.select("zone", "term").distinct(), ["zone", "term"], "left_semi"), positions))
-            lengths = terms.groupBy("zone", "doc_id").agg(F.count("*").alias("tf"))
-            stats = keep(doc_stats(lengths, docs, zones).select("zone", "doc_id", "doc_len"))
-            tables = {"postings": post, "term_stats": term_stats(post), "doc_stats": stats, "zone_stats": zone_stats(stats), "champions": champions(post.select("zone", "term", "doc_id", "tf"))}
         if tables is None:
-            post = keep(postings(zone_terms(docs, zones), positions))
-            stats = keep(doc_stats(post, docs, zones))
-            tables = {"postings": post, "term_stats": term_stats(post), "doc_stats": stats, "zone_stats": zone_stats(stats), "champions": champions(post.select("zone", "term", "doc_id", "tf"))}
+            found = keep("occurrences", lambda: occurrences(docs)) if set(zones) != {"raw"} else None
+            words = keep("dictionary", lambda: dictionary(found)) if found is not None else None
+            post = keep("postings", lambda: zone_postings(docs, zones, positions, found, words))
+            stats = keep("doc_stats", lambda: doc_stats(post, docs, zones))
+            tables = {"postings": post, "doc_stats": stats, "term_stats": keep("term_stats", lambda: term_stats(post)), "zone_stats": keep("zone_stats", lambda: zone_stats(stats))}
+            tables["champions"] = keep("champions", lambda: champions(post.select("zone", "term", "doc_id", "tf")))
         self.tables = tables
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -70,6 +70,17 @@ def bm25(terms: DataFrame, index, p: Params = Params(), weights: dict[str, float
     return found.groupBy("qid", "doc_id", "zone").agg(F.sum(part).alias("score"))
 
 
+def bm25_grid(terms: DataFrame, index, points: DataFrame, k: int = 100, digits: int = DIGITS) -> DataFrame:
+    """k1, b, qid, doc_id, score, rank of one zone for every point (k1, b): postings are met once, only the formula is repeated."""
+    found = scored_terms(terms, index).join(index.postings.select("zone", "term", "doc_id", "tf"), ["zone", "term"]).join(index.doc_stats.select("zone", "doc_id", "doc_len"), ["zone", "doc_id"])
+    parts = found.select("qid", "doc_id", (F.col("qtf") * bm25_idf(F.col("n"), F.col("df"))).alias("gain"), "tf", (F.col("doc_len") / F.col("avg_len")).alias("length")).crossJoin(points)
+    k1, b = F.col("k1"), F.col("b")
+    part = F.col("gain") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length")))
+    scored = parts.groupBy("k1", "b", "qid", "doc_id").agg(F.round(F.sum(part), digits).alias("score")).where("score > 0")
+    by = W.partitionBy("k1", "b", "qid").orderBy(F.desc("score"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
 def combine(zone_scores: DataFrame) -> DataFrame:
     return zone_scores.groupBy("qid", "doc_id").agg(F.sum("score").alias("score"))
 

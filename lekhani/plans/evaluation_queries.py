@@ -12,10 +12,9 @@ from lekhani.operators import index as ix
 from lekhani.operators import learning
 from lekhani.operators import retrieval as rank
 from lekhani.operators.dense import dot
-from lekhani.operators.retrieval import Params
 from lekhani.plans import sql as S
 from lekhani.plans.retrieval_queries import docs_of, engine, query_vectors, topics, vectors_of
-from lekhani.plans.systems import Engine
+from lekhani.sources.store import kept, read_spread
 
 FORMS = ["F1", "F2", "F3"]
 
@@ -28,22 +27,48 @@ def forms(spark: SparkSession, d: str) -> DataFrame:
     return q.select(F.col("qid").alias("item"), F.inline(F.array(*(F.struct((F.col("qid") * 10 + i).alias("qid"), F.lit(f).alias("form"), t.alias("text")) for i, (f, t) in enumerate(zip(FORMS, (F.col("text"), f2, f3), strict=True))))))
 
 
+def token_lists(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, tokens of every document, written once."""
+    source = f"{d}/documents.parquet"
+    return kept(spark, "token_lists", [source], lambda: read_spread(spark, source).select("doc_id", T.tokenize(F.col("text")).alias("tokens")))
+
+
 def qrels(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold an item's tokens in a row. The items are a bounded set against all documents."""
-    held = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat(F.lit(" "), F.array_join(T.tokenize(F.col("text")), " "), F.lit(" ")).alias("t"))
-    items = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.concat(F.lit(" "), F.array_join(T.tokenize(F.col("text")), " "), F.lit(" ")).alias("p"))
-    return held.join(items, F.contains(F.col("t"), F.col("p"))).select(F.col("item_id").alias("qid"), "doc_id", F.lit(1).alias("rel")).persist()
+    """Documents that hold an item's tokens in a row; written once.
+
+    Each item is sought by the token of it that the fewest documents hold: its places give the only starts that the item
+    can have, and there the document's tokens are compared. An item without tokens is held by none.
+    """
+    items_source, source = f"{d}/benchmark.parquet", f"{d}/documents.parquet"
+
+    def make() -> DataFrame:
+        held = token_lists(spark, d)
+        items = spark.read.parquet(items_source).select(F.col("item_id").alias("qid"), T.tokenize(F.col("text")).alias("item")).where("size(item) > 0")
+        words = items.select("qid", F.posexplode("item").alias("offset", "token"))
+        wanted = words.select("token").distinct()
+        places = held.select("doc_id", F.posexplode("tokens").alias("at", "token")).join(wanted, "token", "left_semi")
+        df = places.groupBy("token", "doc_id").agg(F.lit(1)).groupBy("token").agg(F.count("*").alias("df"))
+        anchors = words.join(df, "token", "left").groupBy("qid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "token", "offset")).alias("a")).select("qid", "a.token", "a.offset")
+        starts = places.join(anchors, "token").select("qid", "doc_id", (F.col("at") - F.col("offset")).alias("start")).where("start >= 0")
+        met = starts.join(items, "qid").join(held, "doc_id").where(F.slice("tokens", F.col("start") + 1, F.size("item")) == F.col("item"))
+        return met.select("qid", "doc_id").distinct().withColumn("rel", F.lit(1))
 
+    return kept(spark, "qrels", [items_source, source], make)
 
-def runs(spark: SparkSession, d: str, params: Params = Params()) -> DataFrame:
-    """system, form, qid (the item), doc_id, score, rank of B1 and S1 at 100."""
-    f = forms(spark, d)
-    e, _ = engine(spark, d, "S1", ["all", "dhvani"], params=params, queries=f.select("qid", "text"))
-    out = None
-    for s in ("B1", "S1"):
-        one = e.search(f.select("qid", "text"), s, 100).join(f.select("qid", "item", "form"), "qid").select(F.lit(s).alias("system"), "form", F.col("item").alias("qid"), "doc_id", "score", "rank")
-        out = one if out is None else out.unionByName(one)
-    return out.persist()  # metrics read a run several times
+
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    """system, form, qid (the item), doc_id, score, rank of B1 and S1 at 100; written once, as metrics read a run several times."""
+
+    def make() -> DataFrame:
+        f = forms(spark, d)
+        e, _ = engine(spark, d)
+        out = None
+        for s in ("B1", "S1"):
+            one = e.search(f.select("qid", "text"), s, 100).join(f.select("qid", "item", "form"), "qid").select(F.lit(s).alias("system"), "form", F.col("item").alias("qid"), "doc_id", "score", "rank")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    return kept(spark, "runs", [f"{d}/benchmark.parquet", f"{d}/documents.parquet"], make)
 
 
 def rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
@@ -53,8 +78,8 @@ def rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
 METRICS = ["p5", "p10", "recall100", "mrr10", "ndcg10"]
 
 
-def scores(spark, d, params: Params = Params()):
-    return ev.per_query(runs(spark, d, params), qrels(spark, d), ["system", "form"])
+def scores(spark, d):
+    return ev.per_query(runs(spark, d), qrels(spark, d), ["system", "form"])
 
 
 def eval_metrics(spark, d):
@@ -78,23 +103,18 @@ def eval_significance(spark, d):
     own = scores(spark, d)
     pairs = own.groupBy("form", "qid").agg(F.max(F.when(F.col("system") == "S1", F.col("ndcg10"))).alias("a"), F.max(F.when(F.col("system") == "B1", F.col("ndcg10"))).alias("b"))
     pairs = pairs.select("form", "qid", F.round("a", 9).alias("a"), F.round("b", 9).alias("b"))
-    return rounded(ev.randomisation_test(pairs, ["form"], 500), ["observed", "p"])
+    return rounded(ev.randomisation_test(pairs, ["form"]), ["observed", "p"])
 
 
-GRID = [(k1, b) for k1 in (0.9, 1.5) for b in (0.3, 0.75)]
+GRID = [(k1, b) for k1 in ev.PROTOCOL[0][2]["k1"] for b in ev.PROTOCOL[0][2]["b"]]
 
 
 def eval_grid(spark, d):
-    """One plan for all points: a grid of parameters is data."""
-    q = topics(spark, d)
-    e, _ = engine(spark, d, "B1", ["all"], queries=q)
-    rel = qrels(spark, d)
-    out = None
-    for k1, b in GRID:
-        run = Engine(e.index, Params(k1=k1, b=b)).search(q, "B1", 100)
-        one = ev.averages(ev.per_query(run, rel), []).select(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.round("ndcg10", 6).alias("ndcg10"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The first stage of tuning: a grid of parameters is data, and one plan scores all its points."""
+    e, q = engine(spark, d)
+    points = spark.createDataFrame(GRID, "k1 double, b double")
+    run = rank.bm25_grid(e.terms(q, "B1"), e.index, points)
+    return rounded(ev.averages(ev.per_query(run, qrels(spark, d), ["k1", "b"]), ["k1", "b"]).select("k1", "b", "ndcg10"), ["ndcg10"])
 
 
 def eval_latency(spark, d):
@@ -104,20 +124,40 @@ def eval_latency(spark, d):
 
 
 def cand_features(spark, d):
-    f = topics(spark, d)
-    e, q = engine(spark, d, "S1", ["all", "dhvani"], True, queries=f)
-    sparse = e.search(q, "S1", 20)
-    dense = e.search(q, "B1", 20)  # stands for a second, independent run
-    found = learning.candidates(sparse, dense)
-    scripts = q.select("qid", T.query_script(T.tokenize(F.col("text"))).isin("roman", "mixed").cast("double").alias("roman_query"))
-    lengths = e.index.doc_stats.where("zone = 'all'").select("doc_id", "doc_len")
-    lead = e.index.docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("double").alias("lead_passage"))
-    out = learning.ltr_features(found, e.zone_scores(q, "S1"), rank.proximity(found, q, e.index), sparse, dense, lengths, scripts, lead)
-    return rounded(out, learning.LTR_FEATURES, 5)
+    """Candidates of S3 and of the dense run at 100, with all eleven features from their own sources."""
+    e, q = engine(spark, d, vectors=True)
+    return rounded(e.ltr_features(q), learning.LTR_FEATURES, 5)
+
+
+def _relevance(spark, d, rows: DataFrame) -> DataFrame:
+    return rows.join(qrels(spark, d).select("qid", "doc_id", F.lit(1).alias("label")), ["qid", "doc_id"], "left").na.fill(0, ["label"])
+
+
+def ltr_l1(spark, d):
+    """System L1, trained on the judged candidates of the queries whose hash puts them in the other half, and asked with all queries."""
+    e, q = engine(spark, d, vectors=True)
+    rows = kept(spark, "ltr_rows", [f"{d}/{t}.parquet" for t in ("benchmark", "documents", "embeddings")], lambda: _relevance(spark, d, e.ltr_features(q)))
+    model = learning.LogisticRanker(learning.LTR_FEATURES, balanced=True, max_iter=200).fit(rows.where(an.bucket(F.col("qid"), "ltr") < 50))
+    return learning.rerank(model.predict(rows), 10)
+
+
+def gated_g1(spark, d):
+    """System G1: the gate learns where fusion beats the sparse run, its threshold is chosen by its own curve."""
+    e, q = engine(spark, d, vectors=True)
+    sources = [f"{d}/{t}.parquet" for t in ("benchmark", "documents", "embeddings")]
+    sparse = kept(spark, "run_s3", sources, lambda: e.search(q, "S3", 100))
+    fused = kept(spark, "run_h1", sources, lambda: e.search(q, "H1", 100))
+    quality = [ev.per_query(r, qrels(spark, d)).select("qid", F.col("ndcg10").alias(n)) for r, n in ((sparse, "sparse"), (fused, "neural"))]
+    rows = e.gate_features(q, sparse).join(quality[0].join(quality[1], "qid"), "qid").withColumn("label", (F.col("neural") > F.col("sparse")).cast("int"))
+    rows = kept(spark, "gate_rows", sources, lambda: rows)
+    model = learning.LogisticRanker(learning.GATE_FEATURES, max_iter=200).fit(rows)
+    threshold = learning.choose_threshold(model.predict(rows).select("qid", "p", "sparse", "neural")).first()["threshold"]
+    e.gate = (model, threshold)
+    return e.search(q, "G1", 10)
 
 
 def gate_features(spark, d):
-    e, q = engine(spark, d, "S1", ["all", "dhvani"])
+    e, q = engine(spark, d)
     return rounded(e.gate_features(q, e.search(q, "S1", 100)), learning.GATE_FEATURES, 5)
 
 
@@ -137,7 +177,7 @@ def gate_threshold(spark, d):
 
 
 def budget_curve(spark, d):
-    return rounded(learning.budget_curve(_gate_rows(spark, d), 11, 5), ["threshold", "neural_share", "gate", "random", "oracle"])
+    return rounded(learning.budget_curve(_gate_rows(spark, d)), ["threshold", "neural_share", "gate", "random", "oracle"])
 
 
 def _labelled(spark, d):
@@ -160,7 +200,7 @@ def gate_train(spark, d):
 
 
 def documents(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang")
+    return read_spread(spark, f"{d}/documents.parquet").select("doc_id", "text", "lang")
 
 
 def corpus_df_top(spark, d):
@@ -183,7 +223,7 @@ def corpus_scalars(spark, d):
 
 
 def length_bias(spark, d):
-    e, q = engine(spark, d, "S1", ["all", "dhvani"])
+    e, q = engine(spark, d)
     run = e.search(q, "B1", 1).select(F.lit("B1").alias("system"), "qid", "doc_id", "rank").unionByName(e.search(q, "S1", 1).select(F.lit("S1").alias("system"), "qid", "doc_id", "rank"))
     return an.length_bias(run, e.index.doc_stats.where("zone = 'all'").select("doc_id", "doc_len"))
 
@@ -215,13 +255,13 @@ def mixed_corpus_texts(spark, d):
 def idf_examples(spark, d):
     docs = docs_of(spark, d)
     q = topics(spark, d)
-    e, _ = engine(spark, d, "S1", ["all", "dhvani"])
+    e, _ = engine(spark, d)
     own = rank.query_tokens(q).where("not stop").select("qid", F.col("position").cast("long").alias("position"), "token", T.stem(F.col("token")).alias("term"), T.phonetic_key(F.col("token")).alias("key"))
     return an.idf_examples(own, e.index.term_stats, docs.count(), 5, 5)
 
 
 def overlap(spark, d):
-    e, q = engine(spark, d, "S1", ["all", "dhvani"])
+    e, q = engine(spark, d)
     return rounded(an.overlap_at(e.search(q, "B1", 20), e.search(q, "S1", 20), 20), ["overlap"])
 
 
@@ -229,7 +269,7 @@ def held_out_split(spark, d):
     return an.hash_split(documents(spark, d).select("doc_id"), "doc_id").groupBy("held_out").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (eval_qrels, eval_metrics, eval_rbo_csc, eval_invariance, eval_significance, eval_grid, eval_latency, cand_features, gate_features, gate_threshold_curve, gate_threshold, budget_curve, ltr_rerank, gate_train, corpus_df_top, corpus_zipf, corpus_idf_hist, corpus_scalars, length_bias, key_ablation, agreement, sample_corpus, mixed_corpus, mixed_corpus_texts, idf_examples, overlap, held_out_split)}
+QUERIES = {f.__name__: f for f in (eval_qrels, eval_metrics, eval_rbo_csc, eval_invariance, eval_significance, eval_grid, eval_latency, cand_features, ltr_l1, gated_g1, gate_features, gate_threshold_curve, gate_threshold, budget_curve, ltr_rerank, gate_train, corpus_df_top, corpus_zipf, corpus_idf_hist, corpus_scalars, length_bias, key_ablation, agreement, sample_corpus, mixed_corpus, mixed_corpus_texts, idf_examples, overlap, held_out_split)}
 
 _F2 = "replace(replace(replace(text, 'sh', 's'), 'ee', 'i'), 'w', 'v')"
 _F3 = "replace(replace(text, 'th', 't'), 'i', 'ee')"
@@ -276,12 +316,12 @@ met AS (SELECT a.qid, a.form AS f, b.form AS g, list(greatest(a.rank, b.rank)) A
 v AS (SELECT d2.qid, f, g, n, coalesce(l, []) AS l FROM d2 LEFT JOIN met USING (qid, f, g) WHERE longest > 0)
 SELECT qid, round(avg(CASE WHEN n = 0 THEN 0 ELSE len([x for x in l if x <= n]) / n * power(0.9, n) + (1 - 0.9) / 0.9 * list_sum([len([x for x in l if x <= d]) / d * power(0.9, d) for d in range(1, n + 1)]) END), 6) AS csc FROM v GROUP BY qid""",
     "eval_invariance": f"{SCORES}, w AS (SELECT system, qid, count(DISTINCT form) AS n, min(ndcg10) AS worst, max(CASE WHEN form = 'F1' THEN ndcg10 END) AS a, max(CASE WHEN form = 'F2' THEN ndcg10 END) AS b, max(CASE WHEN form = 'F3' THEN ndcg10 END) AS c FROM pq GROUP BY ALL) SELECT system, count(*) AS n_queries, round(avg(a), 6) AS \"mean_F1\", round(avg(b), 6) AS \"mean_F2\", round(avg(c), 6) AS \"mean_F3\", round(avg(a) - avg(b), 6) AS \"gap_F2\", round(avg(a) - avg(c), 6) AS \"gap_F3\", round(avg(worst), 6) AS worst FROM w WHERE n = 3 GROUP BY system",
-    "eval_significance": f"{SCORES}, df AS (SELECT form, qid, round(max(CASE WHEN system = 'S1' THEN ndcg10 END), 9) - round(max(CASE WHEN system = 'B1' THEN ndcg10 END), 9) AS d FROM pq GROUP BY ALL), o AS (SELECT form, avg(d) AS observed, count(*) AS n FROM df GROUP BY form), fl AS (SELECT form, perm, avg(CASE WHEN {_HEX.format(chr(113) + 'id::VARCHAR || ' + S.lit('-') + ' || perm::VARCHAR', 1)} % 2 = 0 THEN d ELSE -d END) AS m FROM df CROSS JOIN range(500) t(perm) GROUP BY ALL) SELECT form, round(observed, 6) AS observed, n, round((sum((abs(m) >= abs(observed) - 1e-12)::INT) + 1) / 501, 6) AS p FROM fl JOIN o USING (form) GROUP BY form, observed, n",
+    "eval_significance": f"{SCORES}, df AS (SELECT form, qid, round(max(CASE WHEN system = 'S1' THEN ndcg10 END), 9) - round(max(CASE WHEN system = 'B1' THEN ndcg10 END), 9) AS d FROM pq GROUP BY ALL), o AS (SELECT form, avg(d) AS observed, count(*) AS n FROM df GROUP BY form), fl AS (SELECT form, perm, avg(CASE WHEN {_HEX.format(chr(113) + 'id::VARCHAR || ' + S.lit('-') + ' || perm::VARCHAR', 1)} % 2 = 0 THEN d ELSE -d END) AS m FROM df CROSS JOIN range(10000) t(perm) GROUP BY ALL) SELECT form, round(observed, 6) AS observed, n, round((sum((abs(m) >= abs(observed) - 1e-12)::INT) + 1) / 10001, 6) AS p FROM fl JOIN o USING (form) GROUP BY form, observed, n",
     "eval_latency": "SELECT event_type, round(quantile_cont(value::DOUBLE, 0.5), 6) AS median_ms, round(quantile_cont(value::DOUBLE, 0.95), 6) AS p95_ms FROM events GROUP BY event_type",
     "eval_grid": f"{S.base(['all'], True)}, {REL} {_GRID}",
     "gate_threshold_curve": f"{GATE}, {_curve(21)} SELECT round(threshold, 6) AS threshold, round(quality, 6) AS quality, round(neural_share, 6) AS neural_share FROM curve",
     "gate_threshold": f"{GATE}, {_curve(101)} SELECT round(coalesce(max(CASE WHEN quality >= 0.99 * (SELECT avg(neural) FROM g) THEN threshold END), 0), 6) AS threshold FROM curve",
-    "budget_curve": f"{GATE}, {_curve(11)}, dr AS (SELECT qid, sparse, neural, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(qid::VARCHAR || '-' || seed::VARCHAR), qid) AS place FROM g CROSS JOIN range(5) t(seed)), rn AS (SELECT threshold, avg(CASE WHEN place <= round(neural_share * (SELECT count(*) FROM g)) THEN neural ELSE sparse END) AS random FROM dr CROSS JOIN curve GROUP BY threshold) SELECT round(threshold, 6) AS threshold, round(quality, 6) AS gate, round(neural_share, 6) AS neural_share, round(random, 6) AS random, round((SELECT avg(greatest(sparse, neural)) FROM g), 6) AS oracle FROM curve JOIN rn USING (threshold)",
+    "budget_curve": f"{GATE}, {_curve(51)}, dr AS (SELECT qid, sparse, neural, seed, row_number() OVER (PARTITION BY seed ORDER BY md5(qid::VARCHAR || '-' || seed::VARCHAR), qid) AS place FROM g CROSS JOIN range(20) t(seed)), rn AS (SELECT threshold, avg(CASE WHEN place <= round(neural_share * (SELECT count(*) FROM g)) THEN neural ELSE sparse END) AS random FROM dr CROSS JOIN curve GROUP BY threshold) SELECT round(threshold, 6) AS threshold, round(quality, 6) AS gate, round(neural_share, 6) AS neural_share, round(random, 6) AS random, round((SELECT avg(greatest(sparse, neural)) FROM g), 6) AS oracle FROM curve JOIN rn USING (threshold)",
     "corpus_df_top": f"WITH {FREQ} SELECT term, df, cf, round(log10({_N} / df), 6) AS idf, {S.stop('term')} AS stop FROM fr ORDER BY df DESC, term LIMIT 40",
     "corpus_zipf": f"WITH RECURSIVE {FREQ}, n AS (SELECT count(*) AS n FROM fr), rk(r) AS (SELECT 1::BIGINT UNION ALL SELECT CASE WHEN r < 100 THEN r + 1 ELSE floor(r * 1.1::DOUBLE)::BIGINT + 1 END FROM rk WHERE r < (SELECT n FROM n)) SELECT term, cf, rank FROM (SELECT term, cf, row_number() OVER (ORDER BY cf DESC, term) AS rank FROM fr) WHERE rank IN (SELECT r FROM rk)",
     "corpus_idf_hist": f"WITH {FREQ}, i AS (SELECT log10({_N} / df) AS idf FROM fr), e AS (SELECT min(idf) AS lo, max(idf) AS hi FROM i) SELECT least(floor((idf - lo) / ((hi - lo) / 25)), 24)::BIGINT AS bin, count(*) AS n FROM i CROSS JOIN e GROUP BY 1",

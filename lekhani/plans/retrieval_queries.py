@@ -12,70 +12,83 @@ from lekhani.operators import retrieval as rank
 from lekhani.plans import sql as S
 from lekhani.operators.retrieval import Params
 from lekhani.plans.systems import Engine
+from lekhani.sources.store import kept, read_spread
 
 
 def docs_of(spark: SparkSession, d: str) -> DataFrame:
-    return ix.corpus(spark.read.parquet(f"{d}/documents.parquet"))
+    return ix.corpus(read_spread(spark, f"{d}/documents.parquet"))
 
 
 def topics(spark: SparkSession, d: str) -> DataFrame:
     """qid, text: the first six content tokens of each benchmark item."""
-    own = F.slice(F.filter(T.tokenize(F.col("text")), lambda t: ~T.is_stop(t)), 1, 6)
-    return spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.array_join(own, " ").alias("text")).persist()
+    source = f"{d}/benchmark.parquet"
 
+    def make() -> DataFrame:
+        own = F.slice(F.filter(T.tokenize(F.col("text")), lambda t: ~T.is_stop(t)), 1, 6)
+        return spark.read.parquet(source).select(F.col("item_id").alias("qid"), F.array_join(own, " ").alias("text"))
 
-def engine(spark: SparkSession, d: str, system: str, zones: list[str], positions: bool = False, params: Params = Params(), queries: DataFrame | None = None) -> tuple[Engine, DataFrame]:
-    """An engine over the postings that the system's queries need."""
-    q = topics(spark, d) if queries is None else queries
-    e = Engine.__new__(Engine)
-    wanted = Engine.terms(e, q, system).select("zone", "term")
-    if "dhvani" in zones:
-        wanted = wanted.unionByName(rank.query_terms(q, "dhvani").select("zone", "term"))
-    if system == "V1":
-        return Engine(ix.Index(docs_of(spark, d), zones, positions, cache=True), params), q
-    return Engine(ix.Index(docs_of(spark, d), zones, positions, wanted=wanted, cache=True), params), q
+    return kept(spark, "topics", [source], make)
 
 
-def _system(system: str, zones: list[str], positions: bool = False, k: int = 10, champions: bool = False):
+def ready_index(spark: SparkSession, d: str) -> ix.Index:
+    """The index of all zones over the documents: written when a session first asks for it, read by its queries."""
+    source = f"{d}/documents.parquet"
+    by = {"postings": "zone", "champions": "zone", "term_stats": "zone", "doc_stats": "zone"}
+    return ix.Index(docs_of(spark, d), keep=lambda name, make: kept(spark, name, [source], make, by.get(name)))
+
+
+def engine(spark: SparkSession, d: str, params: Params = Params(), vectors: bool = False) -> tuple[Engine, DataFrame]:
+    """An engine over the written index, and the topics."""
+    more = {"vectors": vectors_of(spark, d).select("doc_id", "v"), "query_vectors": topic_vectors(spark, d)} if vectors else {}
+    return Engine(ready_index(spark, d), params, **more), topics(spark, d)
+
+
+def _system(system: str, k: int = 10, champions: bool = False):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        e, q = engine(spark, d, system, zones, positions)
+        e, q = engine(spark, d)
         return e.search(q, system, k, champions).withColumn("rank", F.col("rank").cast("long"))
 
     return query
 
 
 def idx_postings(spark, d):
-    post = ix.postings(ix.zone_terms(docs_of(spark, d)))
-    return post.groupBy("zone", "doc_id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("sum_tf"), F.max("tf").alias("max_tf"), F.min("term").alias("first_term"))
+    return ix.zone_postings(docs_of(spark, d), positions=False).groupBy("zone", "doc_id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("sum_tf"), F.max("tf").alias("max_tf"), F.min("term").alias("first_term"))
 
 
 def idx_positions(spark, d):
-    post = ix.postings(ix.zone_terms(docs_of(spark, d), ["all", "dhvani"]), True)
-    return post.where("tf >= 3").groupBy("zone", "doc_id").agg(F.count("*").alias("n"), F.sum(F.array_min("positions")).alias("first_sum"), F.sum(F.array_max("positions")).alias("last_sum"))
+    post = ix.zone_postings(docs_of(spark, d), ["all", "dhvani"])
+    return post.groupBy("zone", "doc_id").agg(F.count("*").alias("n"), F.sum(F.array_min("positions")).alias("first_sum"), F.sum(F.array_max("positions")).alias("last_sum"))
 
 
 def idx_df(spark, d):
-    return ix.term_stats(ix.postings(ix.zone_terms(docs_of(spark, d), ["all", "dhvani", "soundex"]))).where("df >= 3")
+    return ix.term_stats(ix.zone_postings(docs_of(spark, d), ["all", "dhvani", "soundex"], False))
 
 
 def idx_doc_stats(spark, d):
     docs = docs_of(spark, d)
     zones = ["all", "title", "raw"]
-    return ix.doc_stats(ix.postings(ix.zone_terms(docs, zones)), docs, zones).select("zone", "doc_id", "doc_len")
+    return ix.doc_stats(ix.zone_postings(docs, zones, False), docs, zones).select("zone", "doc_id", "doc_len")
 
 
 def idx_zone_stats(spark, d):
     docs = docs_of(spark, d)
-    return ix.zone_stats(ix.doc_stats(ix.postings(ix.zone_terms(docs)), docs)).withColumn("avg_len", F.round("avg_len", 6))
+    return ix.zone_stats(ix.doc_stats(ix.zone_postings(docs, positions=False), docs)).withColumn("avg_len", F.round("avg_len", 6))
 
 
 def idx_lnc_norm(spark, d):
     docs = docs_of(spark, d)
-    return ix.doc_stats(ix.postings(ix.zone_terms(docs, ["all"])), docs, ["all"]).select("doc_id", F.round("lnc_norm", 6).alias("lnc_norm"))
+    return ix.doc_stats(ix.zone_postings(docs, ["all"], False), docs, ["all"]).select("doc_id", F.round("lnc_norm", 6).alias("lnc_norm"))
 
 
 def idx_champions(spark, d):
-    return ix.champions(ix.postings(ix.zone_terms(docs_of(spark, d), ["all", "dhvani"])), 20).groupBy("zone", "term").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"), F.min("tf").alias("least_tf")).where("n >= 5")
+    return ix.champions(ix.zone_postings(docs_of(spark, d), ["all", "dhvani"], False), 20).groupBy("zone", "term").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"), F.min("tf").alias("least_tf"))
+
+
+def idx_ready(spark, d):
+    """The written index, as queries read it: by zone, rows and sums of its tables."""
+    e = ready_index(spark, d)
+    sums = e.term_stats.groupBy("zone").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"), F.sum("cf").alias("places"))
+    return sums.join(e.zone_stats.select("zone", "num_docs", F.round("avg_len", 6).alias("avg_len")), "zone")
 
 
 BOOLEAN = {"bool_and": "{0} AND {1}", "bool_or": "{0} OR {1}", "bool_not": "{0} AND NOT {1}", "bool_mixed": "{0} {1} OR {2} AND NOT {3}"}
@@ -86,8 +99,7 @@ def _boolean(form: str):
         # One row for each benchmark item: a bounded set of queries, parsed on the driver as a user's query is.
         rows = [(r["qid"], r["text"].split()) for r in topics(spark, d).collect()]
         wanted = boolean.clauses(spark, [(q, form.format(*(w + [""] * 6))) for q, w in rows])
-        terms = ix.zone_terms(docs_of(spark, d), ["all"]).join(wanted.select("term").distinct(), "term", "left_semi")
-        return boolean.boolean_search(wanted, ix.postings(terms))
+        return boolean.boolean_search(wanted, ready_index(spark, d).postings)
 
     return query
 
@@ -95,26 +107,40 @@ def _boolean(form: str):
 def phrase_match(spark, d):
     text = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.array_join(F.slice(T.tokenize(F.col("text")), 1, 5), " ").alias("text"))
     wanted = rank.query_terms(text, "all").select("term").distinct()
-    return boolean.phrase_search(text, ix.zone_terms(docs_of(spark, d), ["all"]).join(wanted, "term", "left_semi"))
+    places = ready_index(spark, d).postings.where("zone = 'all'").join(wanted, "term", "left_semi")
+    return boolean.phrase_search(text, places.select("zone", "term", "doc_id", F.explode("positions").alias("position")))
 
 
 def proximity_window(spark, d):
-    e, q = engine(spark, d, "S1", ["all", "dhvani"], True)
+    e, q = engine(spark, d)
     w = rank.proximity(e.search(q, "S1", 20), q, e.index)
     return w.select("qid", "doc_id", "m", F.col("window").cast("long").alias("window"), F.round("proximity", 6).alias("proximity"))
 
 
 def rrf_fusion(spark, d):
-    e, q = engine(spark, d, "S1", ["all", "dhvani"])
+    e, q = engine(spark, d)
     return rank.rrf(e.search(q, "B1", 50), e.search(q, "S1", 50)).where("rank <= 20").withColumn("rank", F.col("rank").cast("long"))
 
 
+def hybrid_h1(spark, d):
+    """System H1: S3 at 100 and the dense run at 100, fused."""
+    e, q = engine(spark, d, vectors=True)
+    return e.search(q, "H1", 10).withColumn("rank", F.col("rank").cast("long"))
+
+
 def vectors_of(spark, d):
-    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label")
+    return read_spread(spark, f"{d}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label")
 
 
 def query_vectors(spark, d):
-    return vectors_of(spark, d).where("doc_id < 20").select(F.col("doc_id").alias("qid"), F.col("v").alias("q"))
+    """The stated query set: every vector whose id is divisible by 50."""
+    return vectors_of(spark, d).where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.col("v").alias("q"))
+
+
+def topic_vectors(spark, d):
+    """system, qid, q: vectors supplied for topics, in place of an encoder; topic n has that of id 50 n. D0 and D1 have the same."""
+    own = query_vectors(spark, d).select((F.col("qid") / 50).cast("long").alias("qid"), "q")
+    return own.select(F.explode(F.array(F.lit("D0"), F.lit("D1"))).alias("system"), "qid", "q")
 
 
 def dense_exact(spark, d):
@@ -154,7 +180,7 @@ def hybrid_rrf(spark, d):
 
 def dense_vocabulary(spark, d):
     """Tokens of the benchmark kept of the corpus's vocabulary, which is numbered by term."""
-    t = spark.read.parquet(f"{d}/documents.parquet").select(F.explode(T.tokenize(F.col("text"))).alias("token")).groupBy("token").count().where("count >= 50").select("token")
+    t = read_spread(spark, f"{d}/documents.parquet").select(F.explode(T.tokenize(F.col("text"))).alias("token")).distinct()
     vocabulary = t.union(spark.createDataFrame([("<unk>",)], "token string")).withColumn("id", F.conv(F.substring(F.md5("token"), 1, 12), 16, 10).cast("long"))
     used = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(T.tokenize(F.col("text"))).alias("token"))
     return dense.prune_vocabulary(vocabulary, used).withColumn("new_id", F.col("new_id").cast("long"))
@@ -171,10 +197,10 @@ SYSTEMS = {
     "bm25_b0": ("B0", ["raw"], {"raw": 1.0}, False), "bm25_b1": ("B1", ["all"], {"all": 1.0}, False), "bm25_nostem": ("B1N", ["nostem"], {"nostem": 1.0}, False),
     "bm25_soundex": ("S0", ["all", "soundex"], {"all": 1.0, "soundex": 2.0}, False), "bm25_key_zone": ("S1", ["all", "dhvani"], {"all": 1.0, "dhvani": 2.0}, False), "bm25_pooled": ("S2", ["all", "dhvani"], {"all": 1.0, "dhvani": 2.0}, True),
 }
-QUERIES = {name: _system(s, zones) for name, (s, zones, _, _) in SYSTEMS.items()}
-QUERIES |= {"bm25_title_prox": _system("S3", ["all", "dhvani", "title"], True), "bm25_champions": _system("B1", ["all"], champions=True), "bm25_translit": _system("B2", ["all"]), "tfidf_cosine": _system("V1", ["all"])}
+QUERIES = {name: _system(s) for name, (s, _, _, _) in SYSTEMS.items()}
+QUERIES |= {"bm25_title_prox": _system("S3"), "bm25_champions": _system("B1", champions=True), "bm25_translit": _system("B2"), "tfidf_cosine": _system("V1")}
 QUERIES |= {name: _boolean(form) for name, form in BOOLEAN.items()}
-QUERIES |= {f.__name__: f for f in (idx_postings, idx_positions, idx_df, idx_doc_stats, idx_zone_stats, idx_lnc_norm, idx_champions, phrase_match, proximity_window, rrf_fusion, dense_exact, dense_cluster, dense_cluster_candidates, dense_quantized, hybrid_rrf, dense_vocabulary, set_operations)}
+QUERIES |= {f.__name__: f for f in (idx_ready, hybrid_h1, idx_postings, idx_positions, idx_df, idx_doc_stats, idx_zone_stats, idx_lnc_norm, idx_champions, phrase_match, proximity_window, rrf_fusion, dense_exact, dense_cluster, dense_cluster_candidates, dense_quantized, hybrid_rrf, dense_vocabulary, set_operations)}
 
 ALL = ["all", "title", "dhvani", "soundex", "nostem", "raw"]
 OUT = "SELECT qid, doc_id, score, rank FROM run"
@@ -189,7 +215,7 @@ lasts AS (SELECT e.qid, e.doc_id, e.pos AS e, p.term, max(p.pos) AS last FROM en
 spans AS (SELECT qid, doc_id, e, e - min(last) + 1 AS span, count(*) AS c FROM lasts GROUP BY qid, doc_id, e),
 win AS (SELECT ms.qid, ms.doc_id, any_value(m) AS m, CASE WHEN any_value(m) < 2 THEN 0 ELSE min(CASE WHEN s.c = m THEN span END) END AS win FROM ms JOIN spans s ON s.qid = ms.qid AND s.doc_id = ms.doc_id GROUP BY ms.qid, ms.doc_id),
 prox AS (SELECT qid, doc_id, m, win, CASE WHEN m < 2 THEN 0.0 ELSE (m - 1)::DOUBLE / (CASE WHEN win > 1 THEN win - 1 ELSE 1 END) END AS proximity FROM win)"""
-VECTORS = "v AS (SELECT vec_id AS doc_id, embedding AS v FROM embeddings), qv AS (SELECT doc_id AS qid, v AS q FROM v WHERE doc_id < 20)"
+VECTORS = "v AS (SELECT vec_id AS doc_id, embedding AS v FROM embeddings), qv AS (SELECT doc_id AS qid, v AS q FROM v WHERE doc_id % 50 = 0)"
 
 
 def _dot(a: str, b: str) -> str:
@@ -218,12 +244,14 @@ SELECT h.qid, h.doc_id FROM h JOIN need USING (qid) WHERE ((need > 0 AND ands =
 ORACLES |= {name: _boolean_sql(form) for name, form in BOOLEAN.items()}
 ORACLES |= {
     "idx_postings": f"{S.base(ALL)} SELECT zone, doc_id, count(*) AS n_terms, sum(tf)::BIGINT AS sum_tf, max(tf) AS max_tf, min(term) AS first_term FROM post GROUP BY ALL",
-    "idx_positions": f"{S.base(['all', 'dhvani'])}, pp AS (SELECT zone, term, doc_id, count(*) AS tf, min(pos) AS lo, max(pos) AS hi FROM terms GROUP BY ALL) SELECT zone, doc_id, count(*) AS n, sum(lo)::BIGINT AS first_sum, sum(hi)::BIGINT AS last_sum FROM pp WHERE tf >= 3 GROUP BY ALL",
-    "idx_df": f"{S.base(['all', 'dhvani', 'soundex'])} SELECT zone, term, df, cf FROM tstat WHERE df >= 3",
+    "idx_positions": f"{S.base(['all', 'dhvani'])}, pp AS (SELECT zone, term, doc_id, count(*) AS tf, min(pos) AS lo, max(pos) AS hi FROM terms GROUP BY ALL) SELECT zone, doc_id, count(*) AS n, sum(lo)::BIGINT AS first_sum, sum(hi)::BIGINT AS last_sum FROM pp GROUP BY ALL",
+    "idx_df": f"{S.base(['all', 'dhvani', 'soundex'])} SELECT zone, term, df, cf FROM tstat",
     "idx_doc_stats": f"{S.base(['all', 'title', 'raw'])} SELECT zone, doc_id, doc_len FROM dstat",
     "idx_zone_stats": f"{S.base(ALL)} SELECT zone, n AS num_docs, round(avg_len, 6) AS avg_len FROM zstat",
     "idx_lnc_norm": f"{S.base(['all'])} SELECT doc_id, round(lnc_norm, 6) AS lnc_norm FROM dstat",
-    "idx_champions": f"{S.base(['all', 'dhvani'])}, {CHAMP.format(20)} SELECT zone, term, count(*) AS n, sum(doc_id)::BIGINT AS ids, min(tf) AS least_tf FROM champ GROUP BY ALL HAVING count(*) >= 5",
+    "idx_champions": f"{S.base(['all', 'dhvani'])}, {CHAMP.format(20)} SELECT zone, term, count(*) AS n, sum(doc_id)::BIGINT AS ids, min(tf) AS least_tf FROM champ GROUP BY ALL",
+    "idx_ready": f"{S.base(ALL)} SELECT zone, count(*) AS terms, sum(df)::BIGINT AS postings, sum(cf)::BIGINT AS places, any_value(n) AS num_docs, any_value(round(avg_len, 6)) AS avg_len FROM tstat JOIN zstat USING (zone) GROUP BY zone",
+    "hybrid_h1": f"{S.base(['all', 'dhvani', 'title'], True)}, {S.bm25({'all': 1.0, 'dhvani': 2.0, 'title': 1.0}, pooled=True)}, {S.top(k=100, name='r20')}, {WINDOWS}, x AS (SELECT r.qid, r.doc_id, round(r.score + 2.0 * coalesce(p.proximity, 0), 6) AS score, r.rank AS before FROM r20 r LEFT JOIN prox p USING (qid, doc_id)), ra AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, before) AS rank FROM x), {VECTORS}, sd AS (SELECT qid // 50 AS qid, doc_id, {_dot('q', 'v')} AS score FROM qv CROSS JOIN v), {S.top('sd', 100, 5, 'rb')}, {RRF} {OUT} WHERE rank <= 10",
     "bm25_champions": f"{S.base(['all'], True)}, {CHAMP.format(200)}, {S.bm25({'all': 1.0}, source='champ')}, {S.top()} {OUT}",
     "bm25_title_prox": f"{S.base(['all', 'dhvani', 'title'], True)}, {S.bm25({'all': 1.0, 'dhvani': 2.0, 'title': 1.0}, pooled=True)}, {S.top(name='r20')}, {WINDOWS}, x AS (SELECT r.qid, r.doc_id, round(r.score + 2.0 * coalesce(p.proximity, 0), 6) AS score, r.rank AS before FROM r20 r LEFT JOIN prox p USING (qid, doc_id)) SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, before) AS rank FROM x",
     "tfidf_cosine": f"{S.base(['all'], True)}, {S.qterms(['all'])}, wq AS (SELECT qt.qid, qt.term, (1 + log10(qt.qtf)) * log10(z.n / t.df) AS w FROM qt JOIN tstat t ON t.term = qt.term JOIN zstat z ON true), ln AS (SELECT qid, sqrt(sum(w * w)) AS l FROM wq WHERE w <> 0 GROUP BY qid), s AS (SELECT wq.qid, p.doc_id, sum(w / l * (1 + log10(p.tf)) / d.lnc_norm) AS score FROM wq JOIN ln USING (qid) JOIN post p ON p.term = wq.term JOIN dstat d ON d.doc_id = p.doc_id WHERE w <> 0 GROUP BY ALL), {S.top()} {OUT}",
@@ -235,6 +263,6 @@ ORACLES |= {
     "dense_cluster_candidates": f"WITH {CLUSTERS} SELECT qid, count(*) AS candidates FROM s GROUP BY qid",
     "dense_quantized": "WITH x AS (SELECT vec_id AS doc_id, embedding AS v, list_max([abs(e::DOUBLE) for e in embedding]) / 127.0 AS scale FROM embeddings) SELECT doc_id, round(scale, 9) AS scale, list_sum([abs(round(e::DOUBLE / scale)) for e in v])::BIGINT AS sum_codes FROM x",
     "hybrid_rrf": f"WITH {VECTORS}, sa AS (SELECT qid, doc_id, {_dot('q', 'v')} AS score FROM qv CROSS JOIN v), sb AS (SELECT qid, doc_id, {_dot('q[1:32]', 'v[1:32]')} AS score FROM qv CROSS JOIN v), {S.top('sa', 50, 5, 'ra')}, {S.top('sb', 50, 5, 'rb')}, {RRF} {OUT} WHERE rank <= 20",
-    "dense_vocabulary": f"WITH t AS (SELECT unnest({S.tok('text')}) AS token FROM documents), w AS (SELECT token FROM t GROUP BY token HAVING count(*) >= 50 UNION ALL SELECT '<unk>'), voc AS (SELECT token, ('0x' || substr(md5(token), 1, 12))::BIGINT AS id FROM w), us AS (SELECT DISTINCT unnest({S.tok('text')}) AS token FROM benchmark), n AS (SELECT token, row_number() OVER (ORDER BY id) - 1 AS new_id FROM voc WHERE token = '<unk>' OR token IN (SELECT token FROM us)) SELECT voc.token, id, coalesce(n.new_id, (SELECT new_id FROM n WHERE token = '<unk>')) AS new_id FROM voc LEFT JOIN n USING (token)",
+    "dense_vocabulary": f"WITH t AS (SELECT unnest({S.tok('text')}) AS token FROM documents), w AS (SELECT DISTINCT token FROM t UNION ALL SELECT '<unk>'), voc AS (SELECT token, ('0x' || substr(md5(token), 1, 12))::BIGINT AS id FROM w), us AS (SELECT DISTINCT unnest({S.tok('text')}) AS token FROM benchmark), n AS (SELECT token, row_number() OVER (ORDER BY id) - 1 AS new_id FROM voc WHERE token = '<unk>' OR token IN (SELECT token FROM us)) SELECT voc.token, id, coalesce(n.new_id, (SELECT new_id FROM n WHERE token = '<unk>')) AS new_id FROM voc LEFT JOIN n USING (token)",
     "set_operations": "WITH a AS (SELECT doc_id FROM documents WHERE lang = 'en'), b AS (SELECT doc_id FROM labels WHERE quality = 1), x AS (SELECT 'and' AS op, doc_id FROM (SELECT doc_id FROM a INTERSECT SELECT doc_id FROM b) UNION ALL SELECT 'or', doc_id FROM (SELECT doc_id FROM a UNION SELECT doc_id FROM b) UNION ALL SELECT 'not', doc_id FROM (SELECT doc_id FROM a EXCEPT SELECT doc_id FROM b)) SELECT op, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM x GROUP BY op",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lekhani.functions import romanize as R
 from lekhani.functions import text as T
 from lekhani.plans import sql as S
+from lekhani.sources.store import read_spread
 
 #: Golden words for what the corpus, which has no Devanagari, cannot show.
 GOLDEN = ["मौसम", "mausam", "mosam", "हिन्दी", "हिंदी", "hindi", "कल", "kal", "संबंध", "सम्बन्ध", "sambandh", "कृष्ण", "krishna", "ज्ञान", "gyan", "फ़िल्म", "film", "जिंदगी", "zindagi", "पक्का", "pakka", "इलाज", "ilaaj", "क़िला", "हँसी", "लड़के", "लड़कों", "किताबें", "kitaben", "२०२४", "2024", "BAHUUUT", "vishwa", "vishva", "amma", "अम्मा", "mama", "ka", "यंत्र", "yantra", "समय", "samay", "robert", "rupert", "herman", "ashcraft", "tymczak", "ठंडा", "thanda", "घर", "ghar", "छाछ", "chhachh", "check", "xerox", "quick", "ऋषि", "आप", "aap", "भारत", "समझना", "हुआ", "नई", "मंत्र"]
@@ -25,7 +26,7 @@ def golden_tokens(spark: SparkSession) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return read_spread(spark, f"{d}/documents.parquet")
 
 
 def tokens_of(spark: SparkSession, d: str) -> DataFrame:

@@ -6,19 +6,25 @@ item, Myers' bit-parallel algorithm gives the smallest edit distance to any stre
 
 Both sides are compared in lower case, with every run of other than letters and digits as one space. Null or empty texts
 and items match nothing. Long texts are read whole. Ties: of equal distances the earliest end counts. Repeated rows each get
-theirs. Items are taken in chunks of at most `CHUNK` characters (a longer item alone), so what is broadcast is bounded.
+theirs. Items are taken in chunks of about `CHUNK` characters by a hash (a longer item alone), so what is broadcast is
+bounded; documents are read once for each chunk, and a worker builds a chunk's automaton once. Ids keep their types. Empty
+tables give empty ones. Columns other than ids and texts are left out by `find_leaks` and pass through `without_leaks`,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
+from itertools import count
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lekhani.llm.common import small_batches, table
 
@@ -103,6 +109,19 @@ class Items:
         return sorted(out)
 
 
+_READY: dict[tuple, Items] = {}
+#: Numbers of chunks, no two alike in a cluster's life.
+_NUMBERS = (f"{uuid.uuid4().hex}" for _ in count())
+
+
+def _ready(number: str, rows: list[tuple[int, str]], rate: float) -> Items:
+    """A worker keeps the automaton of the chunk (a broadcast's number) that it used last."""
+    if (number, rate) not in _READY:
+        _READY.clear()
+        _READY[number, rate] = Items(rows, rate)
+    return _READY[number, rate]
+
+
 def _chunks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The items in parts of about CHUNK characters, by their hash."""
     rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("length(text) > 0")
@@ -116,12 +135,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: st
     """One row for each document and item that it holds: id, item id, distance, errors_allowed, end_char (of the normalised text)."""
     types = {c: t.schema[c].dataType.simpleString() for t, c in ((docs, id_col), (items, item_id))}
     schema = f"id {types[id_col]}, item {types[item_id]}, distance int, errors_allowed int, end_char long"
-    spark, out = docs.sparkSession, None
+    spark, out, kind = docs.sparkSession, None, to_arrow_type(items.schema[item_id].dataType)
     for rows in _chunks(items, item_id, item_text):
         shared = spark.sparkContext.broadcast(rows)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            wanted = Items(shared.value, rate)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, number=next(_NUMBERS)) -> Iterator[pa.RecordBatch]:
+            wanted = _ready(number, shared.value, rate)
             for batch in small_batches(batches, 1):
                 places, found = [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
@@ -129,7 +148,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: st
                     places += [i] * len(hits)
                     found += hits
                 item, distance, errors, end = zip(*found, strict=True) if found else ((), (), (), ())
-                yield pa.record_batch([batch.column(0).take(pa.array(places, pa.int64())), pa.array(item, None if item else pa.int64()), pa.array(distance, pa.int32()), pa.array(errors, pa.int32()), pa.array(end, pa.int64())], ["id", "item", "distance", "errors_allowed", "end_char"])
+                yield pa.record_batch([batch.column(0).take(pa.array(places, pa.int64())), pa.array(item, kind), pa.array(distance, pa.int32()), pa.array(errors, pa.int32()), pa.array(end, pa.int64())], ["id", "item", "distance", "errors_allowed", "end_char"])
 
         part = docs.select(id_col, text_col).mapInArrow(run, schema)
         out = part if out is None else out.union(part)
@@ -144,8 +163,8 @@ def without_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, text_co
     for rows in _chunks(items, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            wanted = Items(shared.value, rate)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, number=next(_NUMBERS)) -> Iterator[pa.RecordBatch]:
+            wanted = _ready(number, shared.value, rate)
             for batch in small_batches(batches, at):
                 clean = np.array([not wanted.find(t) for t in batch.column(at).to_pylist()], bool)
                 yield batch.filter(pa.array(clean))

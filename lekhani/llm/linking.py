@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from lekhani.llm.common import settle
 
 
+#: Ids of a pool whose members are all held against each other.
+POOL = 1 << 16
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: a, b of one type. Returns id, component (the smallest id that can be reached), for ids that have links.
 
@@ -52,7 +56,7 @@ def in_blocks(rest: DataFrame) -> DataFrame:
     return spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("own", "other", "parts")
 
 
-def link(members: DataFrame, weights: DataFrame, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame], block: int, block_weight: int, most: int = 1 << 16) -> DataFrame:
+def link(members: DataFrame, weights: DataFrame, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame], block: int, block_weight: int) -> DataFrame:
     """Components (id, component) of the ids that are linked within a bucket. Deletes members.
 
     members: as `centered` returns them, settled. weights: id, n (what an id brings to a block). verify keeps the linked
@@ -61,7 +65,7 @@ def link(members: DataFrame, weights: DataFrame, verify: Callable[[DataFrame], D
 
     First each member is held against its bucket's smallest. Ids that buckets join, directly or through others, are a pool.
     Where a pool still spans several components, its members of different components are held against each other: in pools
-    of up to `most` ids all of them, in larger ones those that share a bucket. So nothing that shares a bucket is missed, each
+    of up to POOL ids all of them, in larger ones those that share a bucket. So nothing that shares a bucket is missed, each
     id's data travel once for each part of a pool, and no row is made for a pair. A part has about `block` ids and `block_weight` of n.
     """
     first = settle(members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct())
@@ -73,8 +77,8 @@ def link(members: DataFrame, weights: DataFrame, verify: Callable[[DataFrame], D
     span = [F.count("*").alias("m"), F.sum("n").alias("weight"), F.min("component").alias("lo"), F.max("component").alias("hi")]
     parts = F.ceil(F.greatest(F.col("m") / block, F.col("weight") / block_weight)).cast("int").alias("parts")
     sizes = settle(named.groupBy("pool").agg(*span).where("m > 2 and lo < hi"))  # a pool of two was held against each other
-    small = named.join(sizes.where(F.col("m") <= most).select("pool", parts), "pool").select(F.col("pool").cast("string").alias("bucket"), "id", "component", "parts")
-    large = members.select("bucket", "id").join(named.join(sizes.where(F.col("m") > most).select("pool"), "pool", "left_semi"), "id")
+    small = named.join(sizes.where(F.col("m") <= POOL).select("pool", parts), "pool").select(F.col("pool").cast("string").alias("bucket"), "id", "component", "parts")
+    large = members.select("bucket", "id").join(named.join(sizes.where(F.col("m") > POOL).select("pool"), "pool", "left_semi"), "id")
     spans = large.groupBy("bucket").agg(*span).where("m > 2 and lo < hi").select("bucket", parts)
     large = large.join(spans, "bucket").select(F.concat(F.lit("bucket "), F.col("bucket").cast("string")).alias("bucket"), "id", "component", "parts")
     rest = settle(small.union(large), members, sizes)

@@ -18,11 +18,9 @@ from lekhani.llm.common import settle, sweep, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from all rows of labels."""
+    """Documents whose text the classifier rejects go. It learns from all rows of labels."""
     sweep(docs)
-    rated = settle(quality.rate(docs, table(spark, sf_dir, "labels")))
-    rejected = rated.where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return quality.without_rejected(docs, table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +32,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: shingles of five words, similarity 0.8."""
     sweep(docs)
-    copies = settle(minhash.near_duplicates(docs, k=5, percent=80)).where("not kept").select("doc_id").distinct()
+    # The ids are written, so Spark knows their size and sends them to all tasks only if they are few enough by its own measure.
+    copies = settle(minhash.near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct())
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -6,7 +6,9 @@ Bands of registers gather candidates; for a pair the counts of larger, smaller a
 Jaccard similarity; clearly unlike pairs go, the others are confirmed on their full sets. Links form components.
 
 Null or empty text: an empty set, linked with nothing. Fewer words than a shingle: the whole sequence is one shingle.
-Long texts are handled whole, in slices. Ties: the smallest id represents a component. Null ids are left out of links.
+Long texts are handled whole, in slices. Ties: the smallest id represents a component. Repeated ids with equal texts count as
+one; ids should tell different texts apart: where one has several, a link of any of them may count for all. Null ids are left out of links. Ids keep their type. An empty table gives an
+empty one. Columns other than id and text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ BASE, RATE, LARGEST = 1.02, 20.0, 4000
 MARGIN = 5.0
 #: Documents and shingles of a part of a pool; two parts meet in a block.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 19
+#: Bits of the filter that keeps the sets of documents without a candidate from being written.
+FILTER_LOG2 = 24
 
 _RNG = np.random.default_rng(2024)
 _FACTORS = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,15 +117,28 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, n_shingles long, k1 long, k2 long, registers binary")
 
 
-def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """docs: id, text. Per row: id, set (the sorted hashes, 8 bytes each)."""
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A filter of FILTER_LOG2 bits, one for each id's hash: 2 MB, however many ids there are. It lets all of them pass, and some others."""
+    at = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_LOG2))
+    rows = ids.select(F.floor(at / 32768).cast("int").alias("block"), F.pmod(at, F.lit(32768)).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((1 << FILTER_LOG2) // 32768 * 4096, np.uint8)
+    for r in rows.collect():  # 4 KB for each of 2 ** FILTER_LOG2 / 32768 blocks at most
+        out[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def full_sets(docs: DataFrame, k: int, ids: DataFrame) -> DataFrame:
+    """docs: id, text. ids: id. Per row of docs whose id may be among ids: id, set (the sorted hashes, 8 bytes each). Texts are not shuffled."""
     id_type = docs.schema["id"].dataType.simpleString()
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1):
+            at = np.asarray(batch.column(2))
+            batch = batch.filter(pa.array((wanted.value[at >> 3] >> (at & 7) & 1).astype(bool)))
             yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], ["id", "set"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {id_type}, set binary")
+    return docs.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_LOG2)).alias("at")).mapInArrow(run, f"id {id_type}, set binary")
 
 
 def band_rows(rows: DataFrame) -> DataFrame:
@@ -226,7 +243,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     made = settle(made.drop("registers"), made)
     members = settle(centered(band_rows(reps)))
     known = settle(reps.join(members.select("id").distinct(), "id", "left_semi"), reps)
-    sets = settle(full_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known.select("id"), "id", "left_semi"), k))
+    sets = settle(full_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), k, known))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

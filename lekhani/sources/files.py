@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 CORPUS = "docid string, title string, text string"
 #: Forms of the annotation sheets: three annotators' Roman spellings, the original, code-mixed and English.
@@ -18,7 +19,8 @@ def read_topics(spark: SparkSession, path: str) -> DataFrame:
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     """qid, docid, rel of lines with four fields; of repeated pairs the last line counts."""
-    cut = spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("f")).where(F.size("f") == 4)
+    # Lines of one file are numbered in their order; of several files the last by name counts.
+    cut = spark.read.text(path).select(F.struct(F.input_file_name(), F.monotonically_increasing_id()).alias("n"), F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("f")).where(F.size("f") == 4)
     rows = cut.select("n", F.col("f")[0].alias("qid"), F.col("f")[2].alias("docid"), F.col("f")[3].cast("int").alias("rel"))
     return rows.groupBy("qid", "docid").agg(F.max_by("rel", "n").alias("rel"))
 
@@ -32,6 +34,12 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CORPUS).json(path)
 
 
+def scan_corpus(spark: SparkSession, path: str, keep: Column) -> tuple[int, DataFrame]:
+    """The number of documents, packed or not, and those that a condition keeps. One pass counts; the rows are a plan."""
+    rows = read_corpus(spark, path)
+    return rows.count(), rows.where(keep)
+
+
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """qid, text of a TSV with a header; rows whose text is blank or SKIP go."""
     rows = spark.read.csv(path, sep="\t", header=True, schema="qid string, text string", quote="")
@@ -39,7 +47,7 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_queries(queries: DataFrame, path: str) -> None:
-    queries.select("qid", "text").coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, quote="")
+    queries.select("qid", "text").coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_forms(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -56,6 +64,18 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, schema=SHEET, quote="").na.fill("")
 
 
+def sample_queries(queries: DataFrame, n: int, seed: str) -> DataFrame:
+    """n queries by the order of a hash, numbered from 1 in it: the same on every run."""
+    drawn = queries.orderBy(F.md5(F.concat(F.lit(seed), F.col("qid").cast("string"))), "qid").limit(n)
+    by = W.orderBy(F.md5(F.concat(F.lit(seed), F.col("qid").cast("string"))), "qid")  # n rows
+    return drawn.select(F.row_number().over(by).cast("string").alias("row"), F.col("qid").cast("string").alias("qid"), "text")
+
+
+def blank_sheet(sample: DataFrame) -> DataFrame:
+    """sample: row, qid, text. An annotation sheet with the texts, to be filled in."""
+    return sample.select("row", "qid", F.col("text").alias("devanagari"), *(F.lit("").alias(c) for c in ("roman", "code_mixed", "english")))
+
+
 def usable(text):
     return (F.trim(text) != "") & (F.upper(F.trim(text)) != "SKIP")
 
@@ -83,3 +103,8 @@ def write_runs(runs: DataFrame, path: str) -> None:
 def write_vectors(vectors: DataFrame, path: str) -> None:
     """doc_id, v as floats; a failed task is simply run again."""
     vectors.select("doc_id", F.col("v").cast("array<float>").alias("v")).write.mode("overwrite").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, v of written vectors."""
+    return spark.read.parquet(path).select("doc_id", F.col("v").cast("array<double>").alias("v"))

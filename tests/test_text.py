@@ -4,19 +4,23 @@ from lekhani.functions import romanize as R
 from lekhani.functions import text as T
 
 
+# Some words here are golden values that every implementation of these rules must agree on: those of the key of the word for
+# weather in its spellings, the Soundex codes, the switch of w and v. The others are our own.
+
+
 def values(spark, words, column):
     rows = spark.createDataFrame(list(enumerate(words)), "i int, w string").select("i", column.alias("x")).orderBy("i").collect()
     return [r["x"] for r in rows]
 
 
 def test_tokens_and_normal_forms(spark):
-    assert values(spark, ["हिन्दी", "kal ka मौसम kaisa है?", "", None], T.tokenize(F.col("w"))) == [["हिंदी"], ["kal", "ka", "मौसम", "kaisa", "है"], [], []]
-    assert values(spark, ["क़िला", "हँसी", "सम्बन्ध", "२०२४", "BAHUUUT"], T.normalize(F.col("w"))) == ["किला", "हंसी", "संबंध", "2024", "bahut"]
+    assert values(spark, ["बन्दर", "chai 2 cup चाय!!", "", None], T.tokenize(F.col("w"))) == [["बंदर"], ["chai", "2", "cup", "चाय"], [], []]
+    assert values(spark, ["ज़मीन", "पाँच", "चम्पा", "१९४७", "ACHHAAAA"], T.normalize(F.col("w"))) == ["जमीन", "पांच", "चंपा", "1947", "achha"]
 
 
 def test_stems(spark):
-    a = values(spark, ["लड़के", "लड़कों", "किताबें", "kitaben"], T.stem(T.normalize(F.col("w"))))
-    assert a[0] == a[1] and a[2:] == ["किताब", "kitaben"]
+    a = values(spark, ["कमरे", "कमरों", "मेजें", "mejen"], T.stem(T.normalize(F.col("w"))))
+    assert a[0] == a[1] == "कमर" and a[2:] == ["मेज", "mejen"]
 
 
 def test_keys(spark):
@@ -24,7 +28,7 @@ def test_keys(spark):
         return values(spark, list(w), T.phonetic_key(T.normalize(F.col("w")), rules))
 
     assert set(keys("मौसम", "mausam", "mosam", "mousam")) == {"MSM"}
-    for a, b in [("कल", "kal"), ("हिंदी", "hindi"), ("संबंध", "sambandh"), ("कृष्ण", "krishna"), ("ज्ञान", "gyan"), ("फिल्म", "film"), ("जिंदगी", "zindagi"), ("पक्का", "pakka"), ("इलाज", "ilaaj"), ("यंत्र", "yantra"), ("समय", "samay")]:
+    for a, b in [("दिल", "dil"), ("बंदर", "bandar"), ("चंपा", "champa"), ("कृपा", "kripa"), ("विज्ञान", "vigyan"), ("फसल", "fasal"), ("जमीन", "zameen"), ("बच्चा", "bachcha"), ("आवाज", "aavaaz"), ("मंत्री", "mantri"), ("सुबह", "subah")]:
         x, y = keys(a, b)
         assert x == y != "", (a, b, x, y)
     assert keys("ka", "2024", "amma", "mama") == ["", "", "ANM", ""]
@@ -38,9 +42,9 @@ def test_soundex_and_scripts(spark):
 
 
 def test_romanising():
-    for a, b in [("कल का मौसम", "kal ka mausam"), ("भारत", "bharat"), ("समझना", "samajhna"), ("हुआ नई", "hua nai"), ("मंत्र", "mantra")]:
+    for a, b in [("शाम की चाय", "sham ki chay"), ("मकान", "makan"), ("बरसना", "barasna"), ("गया कोई", "gaya koi"), ("यंत्र", "yantra")]:
         assert R.romanize_text(a) == b
-    assert R.casual_text("कल का मौसम", 7, 13, 1.0) == R.casual_text("कल का मौसम", 7, 13, 1.0)
+    assert R.casual_text("शाम की चाय", 3, 5, 1.0) == R.casual_text("शाम की चाय", 3, 5, 1.0)
     assert R.itrans_word("mausam") == "मौसम"
 
 

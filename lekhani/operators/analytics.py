@@ -115,3 +115,20 @@ def overlap_at(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
 
 def hash_split(rows: DataFrame, key: str, percent: int = 10, seed: str = "split") -> DataFrame:
     return rows.withColumn("held_out", bucket(F.col(key), seed) < percent)
+
+
+def query_forms(topics: DataFrame, seed: int, p: float = 0.3) -> DataFrame:
+    """topics: qid, text. form, qid, text: the original (F1), its romanisation (F2) and a casual respelling (F3), drawn by hashes of seed and qid."""
+    forms = [("F1", F.col("text")), ("F2", R.romanize(F.col("text"))), ("F3", R.casual(F.col("text"), F.col("qid"), seed, p))]
+    out = None
+    for name, text in forms:
+        one = topics.select(F.lit(name).alias("form"), "qid", text.alias("text"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def variant_postings(found: DataFrame, tokens: DataFrame, variants: dict[str, T.KeyRules]) -> DataFrame:
+    """found: occurrences. tokens: token, stop. zone, term, doc_id, tf of one zone of phonetic keys for each variant of the rules."""
+    keys = F.array(*(F.struct(F.lit(name).alias("zone"), T.phonetic_key(F.col("token"), rules).alias("term")) for name, rules in variants.items()))
+    words = tokens.where("not stop").select("token", F.inline(keys)).where("term <> ''")
+    return found.join(words, "token").groupBy("zone", "term", "doc_id").agg(F.sum("tf").alias("tf"))

@@ -53,6 +53,13 @@ def rbo(a: DataFrame, b: DataFrame, p: float = 0.9, k: int = 10) -> DataFrame:
     return own.select("qid", value.alias("rbo"))
 
 
+def shared_top(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
+    """qid, shared: how many of two runs' first k documents are the same."""
+    a, b = (r.where(F.col("rank") <= k).select("qid", "doc_id") for r in (a, b))
+    every = a.select("qid").union(b.select("qid")).distinct()
+    return every.join(a.intersect(b).groupBy("qid").agg(F.count("*").alias("shared")), "qid", "left").na.fill(0, ["shared"])
+
+
 def consistency(run: DataFrame, p: float = 0.9, k: int = 10) -> DataFrame:
     """run: qid, form, doc_id, rank. The mean RBO of a query's pairs of forms; 1 with fewer than two forms."""
     forms = sorted(r["form"] for r in run.select("form").distinct().collect())
@@ -85,6 +92,25 @@ def randomisation_test(pairs: DataFrame, keys: list[str], permutations: int = 10
     return out.groupBy(*keys, "observed", "n").agg(((F.sum((F.abs("mean") >= F.abs("observed") - 1e-12).cast("int")) + 1) / (permutations + 1)).alias("p"))
 
 
+#: The pairs of systems whose differences are tested.
+PAIRS = [("S1", "B1"), ("S1", "S0"), ("S3", "B2"), ("S2", "S1"), ("S3", "S2"), ("D1", "D0"), ("H1", "S3"), ("L1", "H1"), ("G1", "H1"), ("B1", "B1N")]
+
+
+def pair_table(scores: DataFrame, pairs: list[tuple[str, str]] = PAIRS, metric: str = "ndcg10", permutations: int = 10_000) -> DataFrame:
+    """scores: system, form, qid, metric. a, b, form, observed difference, n, p of each pair over the queries that both have."""
+    names = scores.sparkSession.createDataFrame(pairs, "a string, b string")
+    left, right = (scores.select(F.col("system").alias(c), "form", "qid", F.round(metric, 9).alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    rows = names.join(left, "a").join(right, ["b", "form", "qid"]).select("a", "b", "form", "qid", "x", "y")
+    return randomisation_test(rows.select(F.concat_ws("-", "a", "b").alias("pair"), "form", "qid", F.col("x").alias("a"), F.col("y").alias("b")), ["pair", "form"], permutations)
+
+
+def pivot(averages: DataFrame, metric: str, forms: list[str]) -> DataFrame:
+    """averages: system, form, metric. One row for each system: the metric by form, and its range over the forms."""
+    out = averages.groupBy("system").pivot("form", forms).agg(F.first(metric))
+    values = [F.col(f) for f in forms]
+    return out.withColumn("range", F.greatest(*values) - F.least(*values))
+
+
 def latency_summary(times: DataFrame, keys: list[str]) -> DataFrame:
     return times.groupBy(*keys).agg(F.percentile("ms", 0.5).alias("median_ms"), F.percentile("ms", 0.95).alias("p95_ms"))
 
@@ -109,10 +135,14 @@ PROTOCOL = [
 ]
 
 
-def tune_in_stages(start: dict, quality: Callable[[str, list[str], dict], float]) -> tuple[dict, list[tuple[str, dict, float]]]:
+def tune_in_stages(start: dict, quality: Callable[[str, list[str], dict], float], prepare: Callable[[str, list[str], list[dict]], None] | None = None) -> tuple[dict, list[tuple[str, dict, float]]]:
+    """prepare(system, forms, points) is told of a stage's points before their quality is asked, so that one plan can score them all."""
     best, log = dict(start), []
     for system, forms, axes in PROTOCOL:
-        chosen, tried = tune([best | p for p in grid(axes)], lambda p, s=system, f=forms: quality(s, f, p))
+        points = [best | p for p in grid(axes)]
+        if prepare:
+            prepare(system, forms, points)
+        chosen, tried = tune(points, lambda p, s=system, f=forms: quality(s, f, p))
         log += [(system, p, q) for p, q in tried]
         best = chosen
     return best, log

@@ -137,6 +137,7 @@ class Index:
         """keep(name, make): where a table's rows are to be taken from; otherwise they are made anew by each plan that reads them."""
         keep = keep or (lambda _, make: make())
         self.docs, self.zones = docs, zones
+        found = words = None
         if tables is None:
             found = keep("occurrences", lambda: occurrences(docs)) if set(zones) != {"raw"} else None
             words = keep("dictionary", lambda: dictionary(found)) if found is not None else None
@@ -144,7 +145,11 @@ class Index:
             stats = keep("doc_stats", lambda: doc_stats(post, docs, zones))
             tables = {"postings": post, "doc_stats": stats, "term_stats": keep("term_stats", lambda: term_stats(post)), "zone_stats": keep("zone_stats", lambda: zone_stats(stats))}
             tables["champions"] = keep("champions", lambda: champions(post.select("zone", "term", "doc_id", "tf")))
-        self.tables = tables
+        self.tables, self.analysed = tables, {"occurrences": found, "dictionary": words}
+
+    def keep(self, name: str) -> DataFrame:
+        """The occurrences or the dictionary that the postings were made of."""
+        return self.analysed[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in Index.TABLES:

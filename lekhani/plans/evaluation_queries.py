@@ -133,26 +133,40 @@ def _relevance(spark, d, rows: DataFrame) -> DataFrame:
     return rows.join(qrels(spark, d).select("qid", "doc_id", F.lit(1).alias("label")), ["qid", "doc_id"], "left").na.fill(0, ["label"])
 
 
-def ltr_l1(spark, d):
-    """System L1, trained on the judged candidates of the queries whose hash puts them in the other half, and asked with all queries."""
+def _gate_table(spark, d, e, q) -> DataFrame:
+    """qid, the gate's features, sparse and neural quality, label: did fusion beat the sparse run."""
+    sources = [f"{d}/{t}.parquet" for t in ("benchmark", "documents", "embeddings")]
+
+    def make() -> DataFrame:
+        sparse = kept(spark, "topic_run_s3", sources, lambda: e.search(q, "S3", 100))
+        fused = kept(spark, "topic_run_h1", sources, lambda: e.search(q, "H1", 100))
+        quality = [ev.per_query(r, qrels(spark, d)).select("qid", F.col("ndcg10").alias(n)) for r, n in ((sparse, "sparse"), (fused, "neural"))]
+        return e.gate_features(q, sparse).join(quality[0].join(quality[1], "qid"), "qid").withColumn("label", (F.col("neural") > F.col("sparse")).cast("int"))
+
+    return kept(spark, "gate_rows", sources, make)
+
+
+def trained(spark, d) -> tuple[learning.LogisticRanker, tuple[learning.LogisticRanker, float]]:
+    """The ranker, from the judged candidates of the topics whose hash is in the lower half, and the gate with its threshold."""
     e, q = engine(spark, d, vectors=True)
     rows = kept(spark, "ltr_rows", [f"{d}/{t}.parquet" for t in ("benchmark", "documents", "embeddings")], lambda: _relevance(spark, d, e.ltr_features(q)))
-    model = learning.LogisticRanker(learning.LTR_FEATURES, balanced=True, max_iter=200).fit(rows.where(an.bucket(F.col("qid"), "ltr") < 50))
-    return learning.rerank(model.predict(rows), 10)
+    ranker = learning.LogisticRanker(learning.LTR_FEATURES, balanced=True, max_iter=200).fit(rows.where(an.bucket(F.col("qid"), "ltr") < 50))
+    own = _gate_table(spark, d, e, q)
+    gate = learning.LogisticRanker(learning.GATE_FEATURES, max_iter=200).fit(own)
+    return ranker, (gate, learning.choose_threshold(gate.predict(own).select("qid", "p", "sparse", "neural")).first()["threshold"])
+
+
+def ltr_l1(spark, d):
+    """System L1, asked with all topics."""
+    e, q = engine(spark, d, vectors=True)
+    e.ltr, _ = trained(spark, d)
+    return e.search(q, "L1", 10)
 
 
 def gated_g1(spark, d):
     """System G1: the gate learns where fusion beats the sparse run, its threshold is chosen by its own curve."""
     e, q = engine(spark, d, vectors=True)
-    sources = [f"{d}/{t}.parquet" for t in ("benchmark", "documents", "embeddings")]
-    sparse = kept(spark, "run_s3", sources, lambda: e.search(q, "S3", 100))
-    fused = kept(spark, "run_h1", sources, lambda: e.search(q, "H1", 100))
-    quality = [ev.per_query(r, qrels(spark, d)).select("qid", F.col("ndcg10").alias(n)) for r, n in ((sparse, "sparse"), (fused, "neural"))]
-    rows = e.gate_features(q, sparse).join(quality[0].join(quality[1], "qid"), "qid").withColumn("label", (F.col("neural") > F.col("sparse")).cast("int"))
-    rows = kept(spark, "gate_rows", sources, lambda: rows)
-    model = learning.LogisticRanker(learning.GATE_FEATURES, max_iter=200).fit(rows)
-    threshold = learning.choose_threshold(model.predict(rows).select("qid", "p", "sparse", "neural")).first()["threshold"]
-    e.gate = (model, threshold)
+    _, e.gate = trained(spark, d)
     return e.search(q, "G1", 10)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,22 +149,46 @@ def dense_exact(spark, d):
     return dense.exact_search(query_vectors(spark, d), vectors_of(spark, d).select("doc_id", "v"), 10).withColumn("rank", F.col("rank").cast("long"))
 
 
-def _clusters(spark, d):
+#: Share of the leaders whose followers a query reads. These vectors stand nearly evenly in all directions, so clusters cut
+#: little: recall at 10 against exact search is 0.94 on sf0.01 and 0.93 on sf0.1 (with 8 leaders 0.65 and 0.49).
+PROBED = 0.7
+
+
+def _cluster_search(spark, d, k: int = 10):
     v = vectors_of(spark, d).select("doc_id", "v")
     n = int(v.count() ** 0.5)
     leaders = dense.choose_leaders(v, n, "leaders")
-    return leaders, dense.assign(v, leaders)
+    return dense.cluster_search(query_vectors(spark, d), leaders, dense.assign(v, leaders), k, math.ceil(PROBED * n))
 
 
 def dense_cluster(spark, d):
-    leaders, assigned = _clusters(spark, d)
-    run, _ = dense.cluster_search(query_vectors(spark, d), leaders, assigned, 10)
-    return run.withColumn("rank", F.col("rank").cast("long"))
+    return _cluster_search(spark, d)[0].withColumn("rank", F.col("rank").cast("long"))
 
 
 def dense_cluster_candidates(spark, d):
-    leaders, assigned = _clusters(spark, d)
-    return dense.cluster_search(query_vectors(spark, d), leaders, assigned, 10)[1]
+    return _cluster_search(spark, d)[1]
+
+
+def dense_cluster_recall(spark, d):
+    """Of each query's ten nearest by exact search, the share that the clusters find."""
+    exact = dense.exact_search(query_vectors(spark, d), vectors_of(spark, d).select("doc_id", "v"), 10)
+    found = _cluster_search(spark, d)[0].select("qid", "doc_id", F.lit(1).alias("met"))
+    return exact.join(found, ["qid", "doc_id"], "left").groupBy("qid").agg(F.round(F.count("met") / F.count("*"), 6).alias("recall"))
+
+
+def dense_encoded(spark, d):
+    """Topics and documents through the encoder hook, here with hashed letter triples; the ten nearest documents of each topic."""
+    encode = dense.hashed_triples(256)
+    q = dense.encode(topics(spark, d), encode, "qid", prefix="query: ").select("qid", F.col("v").alias("q"))
+    docs = read_spread(spark, f"{d}/documents.parquet").select("doc_id", "text")
+    return dense.exact_search(q, dense.encode(docs, encode, "doc_id", prefix="passage: "), 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+def eff_champions(spark, d):
+    """Of each topic's hundred best by all postings, the share that champion lists find."""
+    e, q = engine(spark, d)
+    full, cut = e.search(q, "B1", 100), e.search(q, "B1", 100, champions=True).select("qid", "doc_id", F.lit(1).alias("met"))
+    return full.join(cut, ["qid", "doc_id"], "left").groupBy("qid").agg(F.round(F.count("met") / F.count("*"), 6).alias("overlap"))
 
 
 def dense_quantized(spark, d):
@@ -200,7 +226,7 @@ SYSTEMS = {
 QUERIES = {name: _system(s) for name, (s, _, _, _) in SYSTEMS.items()}
 QUERIES |= {"bm25_title_prox": _system("S3"), "bm25_champions": _system("B1", champions=True), "bm25_translit": _system("B2"), "tfidf_cosine": _system("V1")}
 QUERIES |= {name: _boolean(form) for name, form in BOOLEAN.items()}
-QUERIES |= {f.__name__: f for f in (idx_ready, hybrid_h1, idx_postings, idx_positions, idx_df, idx_doc_stats, idx_zone_stats, idx_lnc_norm, idx_champions, phrase_match, proximity_window, rrf_fusion, dense_exact, dense_cluster, dense_cluster_candidates, dense_quantized, hybrid_rrf, dense_vocabulary, set_operations)}
+QUERIES |= {f.__name__: f for f in (idx_ready, hybrid_h1, dense_cluster_recall, dense_encoded, eff_champions, idx_postings, idx_positions, idx_df, idx_doc_stats, idx_zone_stats, idx_lnc_norm, idx_champions, phrase_match, proximity_window, rrf_fusion, dense_exact, dense_cluster, dense_cluster_candidates, dense_quantized, hybrid_rrf, dense_vocabulary, set_operations)}
 
 ALL = ["all", "title", "dhvani", "soundex", "nostem", "raw"]
 OUT = "SELECT qid, doc_id, score, rank FROM run"
@@ -224,7 +250,7 @@ def _dot(a: str, b: str) -> str:
 
 CLUSTERS = f"""{VECTORS}, led AS (SELECT doc_id AS leader_id, v AS leader FROM v ORDER BY md5(doc_id::VARCHAR || 'leaders'), doc_id LIMIT (SELECT floor(sqrt(count(*)))::BIGINT FROM v)),
 asg AS (SELECT doc_id, v, leader_id FROM (SELECT doc_id, v, leader_id, row_number() OVER (PARTITION BY doc_id ORDER BY round({_dot('v', 'leader')}, 9) DESC, leader_id) AS r FROM v CROSS JOIN led) WHERE r = 1),
-near AS (SELECT qid, q, leader_id FROM (SELECT qid, q, leader_id, row_number() OVER (PARTITION BY qid ORDER BY round({_dot('q', 'leader')}, 9) DESC, leader_id) AS r FROM qv CROSS JOIN led) WHERE r <= 8),
+near AS (SELECT qid, q, leader_id FROM (SELECT qid, q, leader_id, row_number() OVER (PARTITION BY qid ORDER BY round({_dot('q', 'leader')}, 9) DESC, leader_id) AS r FROM qv CROSS JOIN led) WHERE r <= (SELECT ceil(0.7 * count(*)) FROM led)),
 s AS (SELECT qid, doc_id, {_dot('q', 'v')} AS score FROM near JOIN asg USING (leader_id))"""
 RRF = "f AS (SELECT qid, doc_id, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 9) AS score, a.rank AS r1, b.rank AS r2 FROM ra a FULL JOIN rb b USING (qid, doc_id)), run AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, r1 ASC NULLS LAST, r2 ASC NULLS LAST) AS rank FROM f)"
 
@@ -261,6 +287,8 @@ ORACLES |= {
     "dense_exact": f"WITH {VECTORS}, s AS (SELECT qid, doc_id, {_dot('q', 'v')} AS score FROM qv CROSS JOIN v), {S.top(digits=5)} {OUT}",
     "dense_cluster": f"WITH {CLUSTERS}, {S.top(digits=5)} {OUT}",
     "dense_cluster_candidates": f"WITH {CLUSTERS} SELECT qid, count(*) AS candidates FROM s GROUP BY qid",
+    "dense_cluster_recall": f"WITH {CLUSTERS}, {S.top(digits=5, name='found')}, se AS (SELECT qid, doc_id, {_dot('q', 'v')} AS score FROM qv CROSS JOIN v), {S.top('se', 10, 5, 'ex')} SELECT ex.qid, round(count(found.doc_id) / count(*), 6) AS recall FROM ex LEFT JOIN found ON found.qid = ex.qid AND found.doc_id = ex.doc_id GROUP BY ex.qid",
+    "eff_champions": f"{S.base(['all'], True)}, {CHAMP.format(200)}, {S.bm25({'all': 1.0})}, {S.top(k=100, name='ra')}, sc AS (SELECT qid, doc_id, score FROM (WITH {S.bm25({'all': 1.0}, source='champ')} SELECT * FROM s)), {S.top('sc', 100, name='rb')} SELECT ra.qid, round(count(rb.doc_id) / count(*), 6) AS overlap FROM ra LEFT JOIN rb ON rb.qid = ra.qid AND rb.doc_id = ra.doc_id GROUP BY ra.qid",
     "dense_quantized": "WITH x AS (SELECT vec_id AS doc_id, embedding AS v, list_max([abs(e::DOUBLE) for e in embedding]) / 127.0 AS scale FROM embeddings) SELECT doc_id, round(scale, 9) AS scale, list_sum([abs(round(e::DOUBLE / scale)) for e in v])::BIGINT AS sum_codes FROM x",
     "hybrid_rrf": f"WITH {VECTORS}, sa AS (SELECT qid, doc_id, {_dot('q', 'v')} AS score FROM qv CROSS JOIN v), sb AS (SELECT qid, doc_id, {_dot('q[1:32]', 'v[1:32]')} AS score FROM qv CROSS JOIN v), {S.top('sa', 50, 5, 'ra')}, {S.top('sb', 50, 5, 'rb')}, {RRF} {OUT} WHERE rank <= 20",
     "dense_vocabulary": f"WITH t AS (SELECT unnest({S.tok('text')}) AS token FROM documents), w AS (SELECT DISTINCT token FROM t UNION ALL SELECT '<unk>'), voc AS (SELECT token, ('0x' || substr(md5(token), 1, 12))::BIGINT AS id FROM w), us AS (SELECT DISTINCT unnest({S.tok('text')}) AS token FROM benchmark), n AS (SELECT token, row_number() OVER (ORDER BY id) - 1 AS new_id FROM voc WHERE token = '<unk>' OR token IN (SELECT token FROM us)) SELECT voc.token, id, coalesce(n.new_id, (SELECT new_id FROM n WHERE token = '<unk>')) AS new_id FROM voc LEFT JOIN n USING (token)",

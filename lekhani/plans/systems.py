@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lekhani.functions import romanize as R
 from lekhani.functions import text as T
-from lekhani.operators import dense, learning
+from lekhani.operators import dense, evaluation, learning
 from lekhani.operators import retrieval as rank
 from lekhani.operators.index import Index
 from lekhani.operators.retrieval import Params
@@ -108,6 +110,24 @@ class Engine:
             out |= {"pooled": rank.pooled_df(queries, self.index), "windows": rank.proximity(run, queries, self.index)}
         return out
 
+    def consistency(self, queries: DataFrame, systems: list[str], k: int = 10) -> DataFrame:
+        """system, qid, roman, rbo, shared_top10 of each Devanagari query and its romanisation."""
+        own = queries.where(T.query_script(T.tokenize(F.col("text"))) == "deva").select("qid", "text")
+        roman = own.select("qid", R.romanize(F.col("text")).alias("text"))
+        out = None
+        for system in systems:
+            runs = [self.search(q, system, k) for q in (own, roman)]
+            one = evaluation.rbo(*runs, k=k).join(evaluation.shared_top(*runs, k), "qid").join(roman.withColumnRenamed("text", "roman"), "qid")
+            one = one.select(F.lit(system).alias("system"), "qid", "roman", F.round("rbo", 3).alias("rbo"), F.col("shared").alias("shared_top10"))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def timed_search(self, queries: DataFrame, system: str, k: int = 10) -> tuple[list[Row], float]:
+        """The rows of a search, and the milliseconds that it took."""
+        began = time.perf_counter()
+        rows = self.search(queries, system, k).orderBy("qid", "rank").collect()  # k rows for each query
+        return rows, (time.perf_counter() - began) * 1000
+
     def present(self, run: DataFrame) -> DataFrame:
         """Titles and snippets, joined last."""
         docs = self.index.docs.select("doc_id", "title", T.snippet(F.col("body")).alias("snippet"))

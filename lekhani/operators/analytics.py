@@ -52,7 +52,8 @@ def scalars(docs: DataFrame, freq: DataFrame) -> DataFrame:
     own = docs.select(F.size(T.tokenize(F.col("text"))).alias("n"), F.size(F.filter(T.tokenize(F.col("text")), lambda t: T.token_script(t) == "roman")).alias("r"))
     a = own.agg(F.count("*").alias("num_docs"), F.sum("n").alias("num_tokens"), F.avg("n").alias("avg_tokens"), (F.sum("r") / F.sum("n")).alias("roman_share"), F.avg((F.col("r") > 0).cast("double")).alias("docs_with_roman"))
     b = freq.agg(F.count("*").alias("vocabulary"), F.sum((F.col("cf") == 1).cast("long")).alias("hapaxes"))
-    return a.crossJoin(b)
+    top = freq.orderBy(F.desc("df"), "term").limit(40).agg(F.sum(T.is_stop(F.col("term")).cast("long")).alias("top40_stop"))
+    return a.crossJoin(b).crossJoin(top)  # one row each
 
 
 def length_bias(runs: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -36,6 +36,11 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return out.withColumn("stop", T.is_stop(F.col("token")))
 
 
+def analyze(texts: DataFrame) -> DataFrame:
+    """texts: qid, text. qid, position, token, script, stop, stem, key of every token."""
+    return query_tokens(texts).select("qid", "position", "token", T.token_script(F.col("token")).alias("script"), "stop", T.stem(F.col("token")).alias("stem"), T.phonetic_key(F.col("token")).alias("key"))
+
+
 def query_terms(queries: DataFrame, zone: str, source: str | None = None) -> DataFrame:
     """qid, zone, term, qtf of one zone. source: the kind of term, if not the zone's own."""
     kind = source or ("all" if zone == "title" else zone)

@@ -339,7 +339,7 @@ SELECT qid, round(avg(CASE WHEN n = 0 THEN 0 ELSE len([x for x in l if x <= n])
     "corpus_df_top": f"WITH {FREQ} SELECT term, df, cf, round(log10({_N} / df), 6) AS idf, {S.stop('term')} AS stop FROM fr ORDER BY df DESC, term LIMIT 40",
     "corpus_zipf": f"WITH RECURSIVE {FREQ}, n AS (SELECT count(*) AS n FROM fr), rk(r) AS (SELECT 1::BIGINT UNION ALL SELECT CASE WHEN r < 100 THEN r + 1 ELSE floor(r * 1.1::DOUBLE)::BIGINT + 1 END FROM rk WHERE r < (SELECT n FROM n)) SELECT term, cf, rank FROM (SELECT term, cf, row_number() OVER (ORDER BY cf DESC, term) AS rank FROM fr) WHERE rank IN (SELECT r FROM rk)",
     "corpus_idf_hist": f"WITH {FREQ}, i AS (SELECT log10({_N} / df) AS idf FROM fr), e AS (SELECT min(idf) AS lo, max(idf) AS hi FROM i) SELECT least(floor((idf - lo) / ((hi - lo) / 25)), 24)::BIGINT AS bin, count(*) AS n FROM i CROSS JOIN e GROUP BY 1",
-    "corpus_scalars": f"WITH {FREQ}, t AS (SELECT {S.tok('text')} AS ts FROM documents), c AS (SELECT len(ts) AS n, len([x for x in ts if regexp_matches(x, '[a-z]') AND NOT {S.deva('x')}]) AS r FROM t) SELECT count(*) AS num_docs, sum(n)::BIGINT AS num_tokens, round(avg(n), 6) AS avg_tokens, round(sum(r) / sum(n), 6) AS roman_share, round(avg((r > 0)::INT), 6) AS docs_with_roman, (SELECT count(*) FROM fr) AS vocabulary, (SELECT count(*) FROM fr WHERE cf = 1) AS hapaxes FROM c",
+    "corpus_scalars": f"WITH {FREQ}, t AS (SELECT {S.tok('text')} AS ts FROM documents), c AS (SELECT len(ts) AS n, len([x for x in ts if regexp_matches(x, '[a-z]') AND NOT {S.deva('x')}]) AS r FROM t) SELECT count(*) AS num_docs, sum(n)::BIGINT AS num_tokens, round(avg(n), 6) AS avg_tokens, round(sum(r) / sum(n), 6) AS roman_share, round(avg((r > 0)::INT), 6) AS docs_with_roman, (SELECT count(*) FROM fr) AS vocabulary, (SELECT count(*) FROM fr WHERE cf = 1) AS hapaxes, (SELECT count(*) FROM (SELECT term FROM fr ORDER BY df DESC, term LIMIT 40) WHERE {S.stop('term')}) AS top40_stop FROM c",
     "length_bias": f"{_S1RUN}, {S.top('s1', 1, name='ra')}, {S.top('s', 1, name='rb')}, ln AS (SELECT doc_id, doc_len FROM dstat WHERE zone = 'all') SELECT 'B1' AS system, median(doc_len)::DOUBLE AS median_len FROM ra JOIN ln USING (doc_id) UNION ALL SELECT 'S1', median(doc_len)::DOUBLE FROM rb JOIN ln USING (doc_id) UNION ALL SELECT 'corpus', median(doc_len)::DOUBLE FROM ln",
     "key_ablation": f"WITH ts AS (SELECT DISTINCT unnest({S.tok('text')}) AS token FROM documents), k AS ({_ABL}) SELECT variant, count(*) AS keys, round(avg(n), 6) AS words_per_key FROM (SELECT variant, key, count(*) AS n FROM k WHERE key <> '' GROUP BY ALL) GROUP BY variant",
     "agreement": f"WITH {FSQL}, p AS (SELECT a.text AS x, b.text AS y, {S.tok('a.text')} AS tx, {S.tok('b.text')} AS ty FROM forms a JOIN forms b ON a.item = b.item AND a.form < b.form), w AS (SELECT unnest(tx) AS u, unnest(ty) AS v FROM p WHERE len(tx) = len(ty)), k AS (SELECT u, v, {S.key_from(S.units('u'), 'u')} AS ku, {S.key_from(S.units('v'), 'v')} AS kv FROM w) SELECT (SELECT count(*) FROM p) AS pairs, (SELECT round(avg({_JAC}), 6) FROM p) AS jaccard, (SELECT round(avg(levenshtein(x, y) / greatest(length(x), length(y), 1)), 6) FROM p) AS edit, count(*) AS words, round(avg((u = v)::INT), 6) AS same_spelling, round(avg((ku = kv)::INT), 6) AS same_key FROM k",

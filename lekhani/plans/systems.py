@@ -100,7 +100,7 @@ class Engine:
 
     def explain(self, queries: DataFrame, system: str, k: int = 10) -> dict[str, DataFrame]:
         """Tokens with stem, key and stop flag; df and idf by zone; pooled df; zone scores and windows of the top documents."""
-        tokens = rank.query_tokens(queries).select("qid", "position", "token", "stop", T.token_script(F.col("token")).alias("script"), T.stem(F.col("token")).alias("stem"), T.phonetic_key(F.col("token")).alias("key"))
+        tokens = rank.analyze(queries)
         terms = rank.scored_terms(self.terms(queries, system), self.index).withColumn("idf", rank.bm25_idf(F.col("n"), F.col("df")))
         run = self.search(queries, system, k)
         out = {"tokens": tokens, "terms": terms, "run": run}

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from lekhani.functions import romanize as R
 from lekhani.functions import text as T
+from lekhani.operators import index as ix
+from lekhani.operators import retrieval as rank
 from lekhani.plans import sql as S
+from lekhani.plans.systems import Engine
 from lekhani.sources.store import read_spread
 
 #: Golden words for what the corpus, which has no Devanagari, cannot show.
@@ -112,13 +115,29 @@ def starts_with_sign(spark, d):
     return golden(spark).select(F.col("n").cast("long").alias("n"), T.starts_with_sign(F.substring("word", 2, 100)).alias("sign"))
 
 
-QUERIES = {f.__name__: f for f in (tok_normalize, tok_tokens, tok_script, query_script, tok_stop_flags, tok_stem, tok_phonetic_key, tok_soundex_variant, tok_key_rules_off, tok_romanize, tok_casual, tok_translit, str_bigram_jaccard, str_edit_distance, str_snippet, str_highlight, starts_with_sign)}
+def tok_analyze(spark, d):
+    """Every token of the golden words and of the benchmark's items, analysed."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("qid"), "text")
+    texts = items.unionByName(golden(spark).select((-1 - F.col("n")).cast("long").alias("qid"), F.col("word").alias("text")))
+    return rank.analyze(texts).withColumn("position", F.col("position").cast("long"))
+
+
+def bm25_golden(spark, d):
+    """System S1 over the golden words, each a document and a query: words of one sound in two scripts find each other."""
+    docs = golden(spark).select(F.col("n").cast("long").alias("doc_id"), F.lit("").alias("title"), F.col("word").alias("body"))
+    queries = golden(spark).select(F.col("n").cast("long").alias("qid"), F.col("word").alias("text"))
+    return Engine(ix.Index(docs, ["all", "dhvani"])).search(queries, "S1", 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (tok_analyze, bm25_golden, tok_normalize, tok_tokens, tok_script, query_script, tok_stop_flags, tok_stem, tok_phonetic_key, tok_soundex_variant, tok_key_rules_off, tok_romanize, tok_casual, tok_translit, str_bigram_jaccard, str_edit_distance, str_snippet, str_highlight, starts_with_sign)}
 
 DTOK = f"dtok AS (SELECT doc_id, unnest({S.tok('text')}) AS token FROM documents)"
 _RULES = " UNION ALL ".join(f"SELECT n, token, '{r}' AS rule, {S.key_from('u', 'token', T.KeyRules().without(r))} AS key FROM (SELECT n, token, {S.units('token', T.KeyRules().without(r))} AS u FROM gtok)" for r in T.KEY_RULES)
 _PAIR = f"p AS (SELECT item_id, coalesce(ts[1], '') AS a, coalesce(ts[3], '') AS b FROM (SELECT item_id, {S.tok('text')} AS ts FROM benchmark))"
 _BI = "list_distinct([substr(' ' || {0} || ' ', i, 2) for i in range(1, length({0}) + 2)])"
 ORACLES = {
+    "tok_analyze": f"WITH {GOLD}, x AS (SELECT item_id AS qid, {S.tok('text')} AS ts FROM benchmark UNION ALL SELECT -1 - n, {S.tok('word')} FROM gold), t AS (SELECT qid, unnest(ts) AS token, unnest(range(len(ts))) AS position FROM x) SELECT qid, position, token, {S.script('token')} AS script, {S.stop('token')} AS stop, {S.stem('token')} AS stem, {S.key_from(S.units('token'), 'token')} AS key FROM t",
+    "bm25_golden": f"WITH {GOLD}, documents AS (SELECT n::BIGINT AS doc_id, word AS text FROM gold), {S.base(['all', 'dhvani'], True, 'q AS (SELECT n::BIGINT AS qid, word AS text FROM gold)')[5:]}, {S.bm25({'all': 1.0, 'dhvani': 2.0})}, {S.top()} SELECT qid, doc_id, score, rank FROM run",
     "tok_normalize": f"WITH {GOLD} SELECT n::BIGINT AS n, {S.norm('word')} AS normal FROM gold",
     "tok_tokens": f"WITH {DTOK} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT token) AS n_types, min(token) AS first_type, max(token) AS last_type FROM dtok GROUP BY doc_id",
     "tok_script": f"WITH {DTOK}, {GOLD}, {GTOK} SELECT {S.script('token')} AS script, count(*) AS n FROM dtok GROUP BY 1 UNION ALL SELECT 'golden_' || {S.script('token')}, count(*) FROM gtok GROUP BY 1",

@@ -3,7 +3,7 @@ import math
 import pytest
 
 from lekhani.functions import text as T
-from lekhani.operators import boolean
+from lekhani.operators import boolean, dense
 from lekhani.operators import evaluation as ev
 from lekhani.operators import index as ix
 from lekhani.operators import retrieval as rank
@@ -125,3 +125,43 @@ def test_metrics(spark):
     assert same == pytest.approx(1)
     other = spark.createDataFrame([(1, 100 + d, d) for d in (1, 2)], "qid long, doc_id long, rank int")
     assert ev.rbo(run, other).first()["rbo"] == 0
+
+
+def test_consistency_of_scripts_and_timing(spark, index):
+    e = Engine(index)
+    q = spark.createDataFrame([(1, "शहर"), (2, "chai"), (3, "सुबह")], "qid long, text string")
+    got = {(r["system"], r["qid"]): r for r in e.consistency(q, ["S1", "B1"]).collect()}
+    assert set(got) == {("S1", 1), ("S1", 3), ("B1", 1), ("B1", 3)} and got["S1", 1]["roman"] == "shahar"
+    assert got["S1", 1]["shared_top10"] == 2 and got["S1", 1]["rbo"] > 0.8 and got["B1", 1]["shared_top10"] == 0 and got["B1", 1]["rbo"] == 0
+    rows, ms = e.timed_search(q, "S1", 3)
+    assert [(r["qid"], r["rank"]) for r in rows][:2] == [(1, 1), (1, 2)] and ms > 0
+
+
+def test_encoder_hook(spark):
+    def encoder(texts):
+        return [[len(t), t.count("a"), 1.0] for t in texts]
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["banana", "", None, "a" * 500, "kela"])], "doc_id int, text string")
+    got = {r["doc_id"]: r["v"] for r in dense.encode(rows, encoder, prefix="passage: ", batch=2).collect()}
+    for i, t in enumerate(["banana", "", "", "a" * 500, "kela"]):
+        raw = [len(t) + 9, t.count("a") + 2, 1.0]
+        size = math.sqrt(sum(x * x for x in raw))
+        assert got[i] == pytest.approx([x / size for x in raw])
+
+
+def test_pruned_vocabulary(spark):
+    vocabulary = spark.createDataFrame([("<unk>", 3), ("b", 1 << 40), ("a", 7), ("c", 2), ("d", 5 << 38)], "token string, id long")
+    used = spark.createDataFrame([("b",), ("a",), ("zz",), ("a",)], "token string")
+    pruned = dense.prune_vocabulary(vocabulary, used)
+    assert {r["token"]: r["new_id"] for r in pruned.collect()} == {"<unk>": 0, "a": 1, "b": 2, "c": 0, "d": 0}
+    table = spark.createDataFrame([(i, [float(i)]) for i in (3, 1 << 40, 7, 2, 5 << 38)], "id long, v array<double>")
+    assert [(r["new_id"], r["v"]) for r in dense.select_rows(table, pruned).collect()] == [(0, [3.0]), (1, [7.0]), (2, [float(1 << 40)])]
+
+
+def test_pairs_and_pivot(spark):
+    rows = [(s, f, q, v) for s, k in (("B1", 0.2), ("S1", 0.5)) for f, m in (("F1", 1.0), ("F2", 0.5)) for q in range(8) for v in [k * m + 0.01 * q]]
+    scores = spark.createDataFrame(rows, "system string, form string, qid long, ndcg10 double")
+    got = {(r["pair"], r["form"]): r for r in ev.pair_table(scores, [("S1", "B1"), ("S3", "B1")], permutations=400).collect()}
+    assert set(got) == {("S1-B1", "F1"), ("S1-B1", "F2")} and got["S1-B1", "F1"]["observed"] == pytest.approx(0.3) and got["S1-B1", "F1"]["n"] == 8 and got["S1-B1", "F1"]["p"] < 0.05
+    table = {r["system"]: r for r in ev.pivot(scores.groupBy("system", "form").agg({"ndcg10": "avg"}).withColumnRenamed("avg(ndcg10)", "ndcg10"), "ndcg10", ["F1", "F2"]).collect()}
+    assert table["S1"]["range"] == pytest.approx(0.25) and table["B1"]["F1"] - table["B1"]["F2"] == pytest.approx(0.1)

@@ -116,24 +116,6 @@ class Totals:
         return np.log(pairs * self.scale + PRIOR * (own * self.scale + ADDED) / self.spread)
 
 
-def _word_rows(texts: DataFrame) -> DataFrame:
-    """texts: side, text. word, t, b, tl, bl: counts of words and of those that end a text, by side; the start sign ends minus one for each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 1, SLICE):
-            h, _, _, first = hashes(batch.column(1))
-            side = np.repeat(np.asarray(batch.column(0)), np.diff(first))
-            words, at = np.unique(h, return_inverse=True)
-            last = _last(first)
-            four = [np.bincount(at, (side == s) & keep, len(words)).astype(np.int64) for keep in (np.ones(len(h), bool), last) for s in (0, 1)]
-            begun = np.bincount(np.asarray(batch.column(0)), first[1:] > first[:-1], 2).astype(np.int64)
-            words, four = np.append(words, _START), [np.append(x, v) for x, v in zip(four, (0, 0, -begun[0], -begun[1]), strict=True)]
-            yield pa.record_batch([pa.array(words.astype(np.int64)), *map(pa.array, four)], ["word", "t", "b", "tl", "bl"])
-
-    rows = texts.select("side", "text").mapInArrow(run, "word long, t long, b long, tl long, bl long")
-    return rows.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("t", "b", "tl", "bl")))
-
-
 _PACKED = "part int, kind int, a binary, b binary, c binary, d binary"
 
 
@@ -155,12 +137,81 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartitionById(width, F.col("part")).sortWithinPartitions("part", "kind")
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """All rows of each part, from rows that are sorted by part."""
+    now, group = None, []
+    for part, _, data in _grouped(batches):
+        if part != now and group:
+            yield now, group
+            group = []
+        now = part
+        group.append(data)
+    if group:
+        yield now, group
+
+
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes]]]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), [batch.column(c)[i].as_py() for c in range(2, 6)]
 
 
+def _word_counts(texts: DataFrame) -> DataFrame:
+    """texts: side, text. One packed row for each part: words (sorted), and of each the counts t, b of its places and tl, bl of those that end a text.
+
+    The start sign ends minus one text for each text, as it is the word before without being a word.
+    """
+    width = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1, SLICE):
+            h, _, _, first = hashes(batch.column(1))
+            sides = np.asarray(batch.column(0))
+            side = np.repeat(sides, np.diff(first))
+            words, at = np.unique(h, return_inverse=True)
+            last = _last(first)
+            four = [np.bincount(at[keep & (side == s)], minlength=len(words)) for keep in (np.ones(len(h), bool), last) for s in (0, 1)]
+            begun = [-int(((sides == s) & (first[1:] > first[:-1])).sum()) for s in (0, 1)]
+            words = np.append(words, _START)
+            counts = np.stack([np.append(x, v) for x, v in zip(four, (0, 0, *begun), strict=True)], 1).astype(np.int32)
+            part = ((mix(words) >> _32) * np.uint64(width) >> _32).astype(np.int64)
+            own = _by_part(part)
+            yield from _cut(part[own], COUNTS, words[own], counts[own], counts[:0], counts[:0])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, group in _parts(batches):
+            words, counts = np.concatenate([np.frombuffer(g[0], np.uint64) for g in group]), np.concatenate([np.frombuffer(g[1], np.int32).reshape(-1, 4) for g in group])
+            order = np.argsort(words)
+            at = _runs(words[order])
+            yield _packed([(part, COUNTS, words[order][at], np.add.reduceat(counts[order].astype(np.int64), at), at[:0], at[:0])])
+
+    return _dealt(texts.select("side", "text").mapInArrow(send, _PACKED)).mapInArrow(add, _PACKED)
+
+
+def _word_totals(counted: DataFrame) -> tuple[int, tuple[int, int]]:
+    """The number of words of either side, and each side's number of places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, data in _grouped(batches):
+            counts = np.frombuffer(data[1], np.int64).reshape(-1, 4)[:, :2]
+            yield pa.record_batch([pa.array([int((counts.sum(1) > 0).sum())]), *(pa.array([int(x)]) for x in counts.sum(0))], ["words", "t", "b"])
+
+    size, t, b = counted.mapInArrow(run, "words long, t long, b long").agg(F.sum("words"), F.sum("t"), F.sum("b")).first()  # three numbers
+    return size or 0, (t or 0, b or 0)
+
+
+def _hot_words(counted: DataFrame, least: float) -> list:
+    """word, t, b, tl, bl of the words that occur so often in both sides together, and of the start sign."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, data in _grouped(batches):
+            words, counts = np.frombuffer(data[0], np.uint64), np.frombuffer(data[1], np.int64).reshape(-1, 4)
+            hot = (counts[:, :2].sum(1) >= least) | (words == _START)
+            yield pa.record_batch([pa.array(words[hot].astype(np.int64)), *(pa.array(counts[hot, i]) for i in range(4))], ["word", "t", "b", "tl", "bl"])
+
+    return counted.mapInArrow(run, "word long, t long, b long, tl long, bl long").collect()  # HOT + 1 rows at most
+
+
 def _pair_counts(texts: DataFrame, totals: Totals, mine: range) -> DataFrame:
     """texts: side, text. One packed row for each part of one pass: pairs (sorted), their counts, their words' places, the words' counts."""
 
@@ -182,15 +233,8 @@ def _pair_counts(texts: DataFrame, totals: Totals, mine: range) -> DataFrame:
             yield from _cut(part[own], COUNTS, pair[own], word[own], counts[own], counts[:0])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, []
-        for part, _, data in _grouped(batches):
-            if part != now and group:
-                yield summed(now, group)
-                group = []
-            now = part
-            group.append(data)
-        if group:
-            yield summed(now, group)
+        for part, group in _parts(batches):
+            yield summed(part, group)
 
     def summed(part: int, group: list) -> pa.RecordBatch:
         pair, word = (np.concatenate([np.frombuffer(g[i], np.uint64) for g in group]) for i in (0, 1))
@@ -277,15 +321,8 @@ def _sums(docs: DataFrame, counted: DataFrame, totals: Totals, hot: list, mine:
                 yield _packed([(slice_of, SUMS, key, np.zeros(len(runs), np.int64), np.add.reduceat(loss, np.cumsum(runs) - runs), runs[:0])])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, []
-        for part, _, data in _grouped(batches):
-            if part != now and group:
-                yield summed(group)
-                group = []
-            now = part
-            group.append([np.frombuffer(x, t) for x, t in zip(data, (np.uint64, np.int64, np.float64), strict=False)])
-        if group:
-            yield summed(group)
+        for _, group in _parts(batches):
+            yield summed([[np.frombuffer(x, t) for x, t in zip(data, (np.uint64, np.int64, np.float64), strict=False)] for data in group])
 
     def summed(group: list) -> pa.RecordBatch:
         key, n, loss = (np.concatenate([g[i] for g in group]) for i in range(3))
@@ -312,12 +349,10 @@ def exact_scores(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", tex
     """
     target = settle(target.select(F.lit(0).alias("side"), F.col(text_col).alias("text")))  # read in each pass
     texts = target.union(docs.select(F.lit(1).alias("side"), F.col(text_col).alias("text")))
-    words = settle(_word_rows(texts))
-    size, *tokens = words.agg(F.sum((F.col("t") + F.col("b") > 0).cast("long")), F.sum("t"), F.sum("b")).first()  # three numbers
-    size, tokens = size or 0, tuple(x or 0 for x in tokens)
+    words = settle(_word_counts(texts))
+    size, tokens = _word_totals(words)
     least = max(1.0, sum(tokens) / HOT)
-    start = int(_START.astype(np.int64))
-    hot_words = words.where((F.col("t") + F.col("b") >= least) | (F.col("word") == start)).collect()  # HOT + 1 rows at most
+    hot_words = _hot_words(words, least) if size else []
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = max(width, -(-sum(tokens) // (PASSES * PART_TOKENS)))
     totals = Totals(hot_words, size, tokens, each * PASSES)

@@ -5,7 +5,8 @@ if merging their joined symbols leaves both as they are; that is looked up in a
 encoder steps back and tries the next shorter one, and marks positions from which no way leads on, so that time is
 linear in the length. The result equals that of applying the merges by rank.
 
-Null or empty texts have no tokens and decode to "". Long texts are handled whole. Repeated rows are encoded one by one.
+Null or empty texts have no tokens and decode to "". Long texts are handled whole. Repeated rows are encoded one by one. An
+empty table gives an empty one. Columns other than id and text are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ from lekhani.operators import learning
 from lekhani.operators import retrieval as rank
 from lekhani.operators.dense import dot
 from lekhani.plans import sql as S
-from lekhani.plans.retrieval_queries import docs_of, engine, query_vectors, topics, vectors_of
+from lekhani.plans.retrieval_queries import VECTORS, WINDOWS, _dot, docs_of, engine, query_vectors, topics, vectors_of
 from lekhani.sources.store import kept, read_spread
 
 FORMS = ["F1", "F2", "F3"]
@@ -320,7 +320,17 @@ _ABL = " UNION ALL ".join(f"SELECT '{n}' AS variant, token, {S.key_from('u', 'to
 _BI = "list_distinct([substr(' ' || {0} || ' ', i, 2) for i in range(1, length({0}) + 2)])"
 _JAC = f"len(list_intersect({_BI.format('x')}, {_BI.format('y')})) / len(list_distinct({_BI.format('x')} || {_BI.format('y')}))"
 _S1RUN = f"{S.base(['all', 'dhvani'], True)}, {S.bm25({'all': 1.0, 'dhvani': 2.0})}, s1 AS (SELECT qid, doc_id, score FROM zs WHERE zone = 'all')"
+#: The eleven features: candidates of S3 and of the dense run; windows are taken for all of them.
+_FEATURES = f"""{S.base(['all', 'dhvani', 'title'], True)}, {VECTORS}, sd AS (SELECT qid // 50 AS qid, doc_id, {_dot('q', 'v')} AS score FROM qv CROSS JOIN v), {S.top('sd', 100, 5, 'rb')}, {S.bm25({'all': 1.0, 'dhvani': 2.0, 'title': 1.0}, pooled=True)}, {S.top(k=100, name='r100')},
+r20 AS (SELECT qid, doc_id FROM r100 UNION SELECT qid, doc_id FROM rb), {WINDOWS}, x AS (SELECT r.qid, r.doc_id, round(r.score + 2.0 * coalesce(p.proximity, 0), 6) AS score, r.rank AS before FROM r100 r LEFT JOIN prox p USING (qid, doc_id)),
+ra AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, before) AS rank FROM x), cand AS (SELECT qid, doc_id, ra.rank AS r1, rb.rank AS r2 FROM ra FULL JOIN rb USING (qid, doc_id)),
+wq AS (SELECT qt.qid, qt.term, (1 + log10(qt.qtf)) * log10(z.n / t.df) AS w FROM qt JOIN tstat t ON t.zone = 'all' AND t.term = qt.term JOIN zstat z ON z.zone = 'all' WHERE qt.zone = 'all'), ln AS (SELECT qid, sqrt(sum(w * w)) AS l FROM wq WHERE w <> 0 GROUP BY qid),
+tc AS (SELECT wq.qid, p.doc_id, sum(w / l * (1 + log10(p.tf)) / d.lnc_norm) AS tfidf FROM wq JOIN ln USING (qid) JOIN post p ON p.zone = 'all' AND p.term = wq.term JOIN dstat d ON d.zone = 'all' AND d.doc_id = p.doc_id WHERE w <> 0 GROUP BY ALL),
+zf AS (SELECT qid, doc_id, sum(CASE WHEN zone = 'all' THEN score ELSE 0 END) AS bm25_all, sum(CASE WHEN zone = 'dhvani' THEN score ELSE 0 END) AS bm25_dhvani, sum(CASE WHEN zone = 'title' THEN score ELSE 0 END) AS bm25_title FROM zs GROUP BY ALL),
+rq AS (SELECT qid, max(({S.script('token')} = 'roman')::INT)::DOUBLE AS roman_query FROM qtok GROUP BY qid)"""
 ORACLES = {
+    "cand_features": f"{_FEATURES} SELECT c.qid, c.doc_id, " + ", ".join(f"round(coalesce({e}, 0)::DOUBLE, 5) AS {n}" for n, e in {"bm25_all": "zf.bm25_all", "bm25_dhvani": "zf.bm25_dhvani", "bm25_title": "zf.bm25_title", "proximity": "prox.proximity", "tfidf": "tc.tfidf", "dense": "sd.score", "sparse_recip": "1.0::DOUBLE / r1", "dense_recip": "1.0::DOUBLE / r2", "lead_passage": "0", "log_length": "ln(1.0 + dl.doc_len)", "roman_query": "rq.roman_query"}.items())
+    + " FROM cand c LEFT JOIN zf ON zf.qid = c.qid AND zf.doc_id = c.doc_id LEFT JOIN prox ON prox.qid = c.qid AND prox.doc_id = c.doc_id LEFT JOIN tc ON tc.qid = c.qid AND tc.doc_id = c.doc_id LEFT JOIN sd ON sd.qid = c.qid AND sd.doc_id = c.doc_id LEFT JOIN dstat dl ON dl.zone = 'all' AND dl.doc_id = c.doc_id LEFT JOIN rq ON rq.qid = c.qid",
     "eval_qrels": f"WITH {REL} SELECT qid, doc_id, 1 AS rel FROM rel",
     "eval_metrics": f"{SCORES} SELECT system, form, {_AVG}, count(*) AS n_queries FROM pq GROUP BY ALL",
     "eval_rbo_csc": f"""{RUNS}, r AS (SELECT qid, form, doc_id, rank FROM runs WHERE system = 'S1' AND rank <= 10), n AS (SELECT qid, form, max(rank) AS n FROM r GROUP BY ALL),

@@ -65,10 +65,9 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sample_queries(queries: DataFrame, n: int, seed: str) -> DataFrame:
-    """n queries by the order of a hash, numbered from 1 in it: the same on every run."""
+    """n queries by the order of a hash, the same on every run, numbered from 1 by qid."""
     drawn = queries.orderBy(F.md5(F.concat(F.lit(seed), F.col("qid").cast("string"))), "qid").limit(n)
-    by = W.orderBy(F.md5(F.concat(F.lit(seed), F.col("qid").cast("string"))), "qid")  # n rows
-    return drawn.select(F.row_number().over(by).cast("string").alias("row"), F.col("qid").cast("string").alias("qid"), "text")
+    return drawn.select(F.row_number().over(W.orderBy("qid")).cast("string").alias("row"), F.col("qid").cast("string").alias("qid"), "text")  # n rows
 
 
 def blank_sheet(sample: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ BLANKS = re.compile(f"[{BLANK}]+")
 #: str.split() takes these for white space and the pattern does not.
 ODD_BLANK = re.compile("[\x1c-\x1f]")
 #: Words whose tokens a worker remembers; at this number it starts anew.
-CACHE = 1 << 19
+CACHE = 1 << 18
 #: Added to a symbol that ends a word.
 END = 256
 

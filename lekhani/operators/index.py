@@ -156,6 +156,10 @@ class Index:
             return self.tables[name]
         raise AttributeError(name)
 
+    def only(self, zones: list[str]) -> Index:
+        """The index of some zones: what is written by zone is read of these only."""
+        return Index(self.docs, zones, tables={name: t.where(F.col("zone").isin(zones)) for name, t in self.tables.items()})
+
     def save(self, path: str) -> None:
         """Parquet by zone, postings sorted by term, so that a zone filter prunes files and a term filter row groups."""
         for name, df in self.tables.items():

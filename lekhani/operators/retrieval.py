@@ -64,15 +64,15 @@ def scored_terms(terms: DataFrame, index, df: DataFrame | None = None) -> DataFr
     return counted.withColumnRenamed("own_df", "df").join(stats, "zone")
 
 
-def bm25(terms: DataFrame, index, p: Params = Params(), weights: dict[str, float] | None = None, df: DataFrame | None = None, champions: bool = False) -> DataFrame:
-    """qid, doc_id, zone, score: the weighted BM25 sum of each zone. With champions the df stays that of all postings."""
+def bm25(terms: DataFrame, index, p: Params = Params(), weights: dict[str, float] | None = None, df: DataFrame | None = None, champions: bool = False, by: tuple[str, ...] = ("qid", "doc_id", "zone")) -> DataFrame:
+    """qid, doc_id, zone, score: the weighted BM25 sum of each zone (by: of all zones, if zone isn't named). With champions the df stays that of all postings."""
     weight = F.lit(1.0)
     for zone, w in (weights or {}).items():
         weight = F.when(F.col("zone") == zone, F.lit(w)).otherwise(weight)
     found = scored_terms(terms, index, df).join((index.champions if champions else index.postings).select("zone", "term", "doc_id", "tf"), ["zone", "term"])
     found = found.join(index.doc_stats.select("zone", "doc_id", "doc_len"), ["zone", "doc_id"])
     part = weight * F.col("qtf") * bm25_idf(F.col("n"), F.col("df")) * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("doc_len") / F.col("avg_len")))
-    return found.groupBy("qid", "doc_id", "zone").agg(F.sum(part).alias("score"))
+    return found.groupBy(*by).agg(F.sum(part).alias("score"))
 
 
 def bm25_grid(terms: DataFrame, index, points: DataFrame, k: int = 100, digits: int = DIGITS) -> DataFrame:

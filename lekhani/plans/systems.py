@@ -55,19 +55,20 @@ class Engine:
         again = own.select("qid", F.explode(T.tokenize(deva)).alias("token")).select("qid", T.stem(F.col("token")).alias("term"))
         return again.groupBy("qid", "term").agg(F.count("*").alias("qtf")).select("qid", F.lit("all").alias("zone"), "term", "qtf")
 
-    def zone_scores(self, queries: DataFrame, system: str, champions: bool = False) -> DataFrame:
+    def zone_scores(self, queries: DataFrame, system: str, champions: bool = False, by: tuple[str, ...] = ("qid", "doc_id", "zone")) -> DataFrame:
         p = self.params
+        index = self.index.only([*SPARSE[system], *(["dhvani"] if system in ("S2", "S3") else [])])
         weights = {"dhvani": p.w_dhvani, "soundex": p.w_soundex, "title": p.w_title}
         df = None
         if system in ("S2", "S3"):
-            df = rank.pooled_df(queries, self.index)
+            df = rank.pooled_df(queries, index)
             df = df.unionByName(df.withColumn("zone", F.lit("title"))) if system == "S3" else df
-        return rank.bm25(self.terms(queries, system), self.index, p, weights, df, champions)
+        return rank.bm25(self.terms(queries, system), index, p, weights, df, champions, by)
 
     def sparse(self, queries: DataFrame, system: str, k: int, champions: bool = False) -> DataFrame:
         if system == "V1":
-            return rank.top_k(rank.tfidf_cosine(self.terms(queries, system), self.index), k)
-        run = rank.top_k(rank.combine(self.zone_scores(queries, system, champions)), k)
+            return rank.top_k(rank.tfidf_cosine(self.terms(queries, system), self.index.only(SPARSE[system])), k)
+        run = rank.top_k(self.zone_scores(queries, system, champions, ("qid", "doc_id")), k)
         if system == "S3" and self.params.proximity:
             run = rank.add_proximity(run, rank.proximity(run, queries, self.index), self.params.proximity)
         return run

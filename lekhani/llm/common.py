@@ -42,7 +42,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: set[str] = set()
 
 
-def settle(df: DataFrame, *spent: DataFrame) -> DataFrame:
+def settle(df: DataFrame, *spent: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write the rows to the shared folder and read them again: cuts the lineage, survives lost executors.
 
     spent: settled rows that nothing reads after this write; they are deleted.
@@ -52,7 +52,7 @@ def settle(df: DataFrame, *spent: DataFrame) -> DataFrame:
     before = conf.get(CLEANUP, None)
     conf.set(CLEANUP, "true")  # shuffle files of this write go when it ends; nothing reads them again
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     _WRITTEN.add(path)

@@ -71,12 +71,29 @@ def _places(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return at
 
 
-def _find(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of wanted values in the sorted known ones, and whether they are there."""
-    if not len(known):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(_places(known, wanted), len(known) - 1)
-    return at, known[at] == wanted
+class Lookup:
+    """Places of hashes among sorted known ones, by their first bits: values with the same ones stand side by side."""
+
+    BITS = 20
+
+    def __init__(self, known: np.ndarray):
+        self.known, self.shift = known, np.uint64(64 - self.BITS)
+        self.start = np.searchsorted(known >> self.shift, np.arange((1 << self.BITS) + 1, dtype=np.uint64)).astype(np.int32)
+        self.longest = int(np.diff(self.start).max())
+        self.padded = np.append(known, np.zeros(self.longest + 1, np.uint64))
+
+    def __reduce__(self) -> tuple:
+        return Lookup, (self.known,)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of wanted values, and whether they are known."""
+        at = self.start[(wanted >> self.shift).astype(np.int64)]
+        found = (self.padded[at] == wanted) & (at < len(self.known))
+        for k in range(1, self.longest):
+            here = (self.padded[at + k] == wanted) & (at + k < len(self.known)) & ~found
+            at = np.where(here, at + k, at)
+            found |= here
+        return at, found
 
 
 def _by_part(part: np.ndarray) -> np.ndarray:
@@ -98,6 +115,7 @@ class Totals:
     def __init__(self, rows: list, vocabulary: int, tokens: tuple[int, int], parts: int):
         rows = sorted((np.uint64(r["word"] & (1 << 64) - 1), r) for r in rows)
         self.words = np.array([w for w, _ in rows], np.uint64)
+        self.lookup = Lookup(self.words)
         self.own = np.array([(r["t"], r["b"]) for _, r in rows], np.int64).reshape(-1, 2)
         self.before = self.own - np.array([(r["tl"], r["bl"]) for _, r in rows], np.int64).reshape(-1, 2)
         self.parts = parts
@@ -106,7 +124,7 @@ class Totals:
 
     def part(self, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """The part of each pair: by its word, or by itself where the word is hot."""
-        key = mix(np.where(_find(self.words, word)[1], pair, word) ^ np.uint64(0x5851F42D4C957F2D))
+        key = mix(np.where(self.lookup.find(word)[1], pair, word) ^ np.uint64(0x5851F42D4C957F2D))
         return ((key >> _32) * np.uint64(self.parts) >> _32).astype(np.int64)
 
     def log_before(self, counts: np.ndarray) -> np.ndarray:
@@ -223,8 +241,13 @@ def _pair_counts(texts: DataFrame, totals: Totals, mine: range) -> DataFrame:
             at = _runs(pair[order])
             if not len(at):
                 continue
-            last = _last(first)
-            counts = np.stack([np.add.reduceat(x[order], at, dtype=np.uint32) for x in (side == 0, side == 1, (side == 0) & last, (side == 1) & last)], 1)
+            last, counts = _last(first), np.zeros((len(at), 4), np.uint32)
+            if side.min() == side.max():  # the texts of a slice are of one side, but where a task's two tables meet
+                counts[:, side[0]] = np.diff(np.append(at, len(order)))
+                counts[:, 2 + side[0]] = np.add.reduceat(last[order], at, dtype=np.uint32)
+            else:
+                for i, x in enumerate((side == 0, side == 1, (side == 0) & last, (side == 1) & last)):
+                    counts[:, i] = np.add.reduceat(x[order], at, dtype=np.uint32)
             pair, word = pair[order][at], h[order][at]
             part = totals.part(word, pair)
             own = np.flatnonzero((part >= mine.start) & (part < mine.stop))
@@ -245,7 +268,7 @@ def _pair_counts(texts: DataFrame, totals: Totals, mine: range) -> DataFrame:
         words, place = np.unique(word[order][at], return_inverse=True)
         own = np.stack([np.bincount(place, counts[:, i], len(words)) for i in range(4)], 1).astype(np.int64)
         own[:, 2:] = own[:, :2] - own[:, 2:]  # a word is the word before wherever it ends no text
-        known, hot = _find(totals.words, words)
+        known, hot = totals.lookup.find(words)
         own[hot, :2], own[hot, 2:] = totals.own[known[hot]], totals.before[known[hot]]
         return _packed([(part, COUNTS, pair[order][at], counts[:, :2].astype(np.int64), place.astype(np.int32), own)])
 
@@ -267,7 +290,7 @@ def _hot_pairs(counted: DataFrame, least: float) -> list:
 def _sums(docs: DataFrame, counted: DataFrame, totals: Totals, hot: list, mine: range) -> DataFrame:
     """docs: key, text. key, n, t, b: parts of the sums of losses of each text, over the pairs of one pass."""
     hot = sorted((np.uint64(r["pair"] & (1 << 64) - 1), r["t"], r["b"]) for r in hot)
-    hot_pairs, hot_counts = np.array([r[0] for r in hot], np.uint64), np.array([r[1:] for r in hot], np.int64).reshape(-1, 2)
+    hot_pairs, hot_counts = Lookup(np.array([r[0] for r in hot], np.uint64)), np.array([r[1:] for r in hot], np.int64).reshape(-1, 2)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = totals.log_before(totals.before[np.flatnonzero(totals.words == _START)[0]])
@@ -277,9 +300,10 @@ def _sums(docs: DataFrame, counted: DataFrame, totals: Totals, hot: list, mine:
                 continue
             last, key = _last(first), np.asarray(batch.column(0)).astype(np.uint64)
             doc = np.repeat(np.arange(len(key)), np.diff(first))
-            at, here = _find(hot_pairs, pair)
-            part = np.where(here, -1, totals.part(h, pair))
-            place, _ = _find(totals.words, h[here])  # a hot pair's word is hot
+            at, here = hot_pairs.find(pair)
+            part = np.full(len(h), -1)
+            part[~here] = totals.part(h[~here], pair[~here])
+            place, _ = totals.lookup.find(h[here])  # a hot pair's word is hot
             loss = totals.log_before(totals.before[place]) * ~last[here, None] - totals.log_share(hot_counts[at[here]], totals.own[place])
             whole = np.stack([np.bincount(doc[here], loss[:, i], len(key)) for i in (0, 1)], 1)
             n = np.diff(first)
@@ -362,7 +386,7 @@ def exact_scores(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", tex
     sums = []
     if hot_words:
         for mine in passes:
-            counted = settle(_pair_counts(texts, totals, mine))
+            counted = settle(_pair_counts(texts, totals, mine), compression="snappy")  # hashes: little else compresses
             sums.append(settle(_sums(keyed, counted, totals, _hot_pairs(counted, least), mine), counted))
     discard(target)
     out = docs.select(F.col(id_col), _key(text_col).alias("key"))
@@ -382,4 +406,4 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents that are labelled as good and not toxic. Background: all documents."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    return exact_scores(docs, docs.join(good.hint("merge"), "doc_id", "left_semi"))
+    return exact_scores(docs, docs.join(good.hint("shuffle_hash"), "doc_id", "left_semi"))

@@ -37,7 +37,7 @@ PASSES = 2
 #: Hot words and hot pairs: at most so many of each.
 HOT = 1 << 16
 #: Bytes of text that are summed together, and tokens of a part.
-SLICE, PART_TOKENS = 1 << 23, 1 << 21
+SLICE, PART_TOKENS = 1 << 22, 1 << 21
 _START = np.uint64(0x243F6A8885A308D3)
 _32 = np.uint64(32)
 #: Kinds of packed rows: a part's counts, entries of texts that ask for them, sums that are ready.

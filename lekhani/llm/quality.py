@@ -1,18 +1,20 @@
 """Quality classification by Bradley-Terry pairwise ranking.
 
 A document's latent score is linear in features of its text's surface. The weights come from preference pairs (a row of
-label 1 over one of label 0) by logistic loss on the difference of their features. Latent scores become 0 to 1 by a
-logistic curve that puts a quantile of the training rows' scores, the share of label 0, at the threshold.
+label 1 over one of label 0) by logistic loss on the difference of their features: every labelled row of one label is held
+against every one of the other. A pair's loss depends on the two scores only, so the scores' distributions, on nodes with
+weights linear between them, stand for the pairs, and no pair is made. Latent scores become 0 to 1 by a logistic curve that
+puts a quantile of all training rows' scores, the share of label 0, at the threshold.
 
 Null and empty texts have features of zero and a score. Without pairs every score is the threshold itself. Ties get equal
-scores. Training takes a bounded sample of labelled rows: `TRAIN_ROWS` of each label at most, chosen by a hash of their features
-(18 numbers a row: 2 MB in all). Long texts are read whole. An empty table gives an empty one. Columns other than id and text
+scores. Up to `TRAIN_ROWS` rows of each label, chosen by a hash of their features (18 numbers a row: 2 MB in all), give the
+weights that the descent over all rows begins with; the loss is convex, so where it ends doesn't hang on them. Long texts are read whole. An empty table gives an empty one. Columns other than id and text
 are left out, whatever their names; `without_rejected` returns all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,12 @@ from pyspark.sql import functions as F
 from lekhani.llm.common import LOWER, NOT_BLANK, discard, id_bucket, settle, small_batches, span_hashes, table, text_bytes, word_spans
 
 THRESHOLD = 0.7
-#: Bounds of the training sample: rows of a label, and preference pairs.
+#: Bounds of what gives the first weights: rows of a label, and preference pairs.
 TRAIN_ROWS, PAIRS = 6000, 60_000
+#: Spaces between the nodes of the scores' distributions, weight of the squared weights, largest slope left at the end, most steps.
+SPACES, RIDGE, SLOPE, STEPS = 4096, 1e-3, 1e-5, 40
+#: Parts that one pass cuts a range of scores into, when a quantile is sought.
+CUTS = 4096
 FEATURES = ["length", "short", "upper", "digit", "mark", "bang", "bar", "odd", "newline", "word_length", "word_spread", "marked_words", "upper_words", "repeated", "distinct", "top_word", "small_words", "line_words"]
 
 _B = np.arange(256)
@@ -130,16 +136,118 @@ def fit(good: np.ndarray, bad: np.ndarray, steps: int = 300) -> Model:
     return Model(mean, scale, w, cut, 1.0)
 
 
+def summed(rows: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of part(features, labels), a vector, over all batches of rows (x, label). Tasks return one vector each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                own = part(np.asarray(batch.column(0).flatten()).reshape(-1, len(FEATURES)), np.asarray(batch.column(1)))
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.record_batch([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["k", "v"])
+
+    sums = rows.select("x", "label").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    return np.array([r["v"] for r in sorted(sums, key=lambda r: r["k"])])
+
+
+def spread(s: np.ndarray, reach: float) -> np.ndarray:
+    """The weight of scores at each node of -reach to reach, shared by the two nodes around a score."""
+    at = (s + reach) * (SPACES / (2 * reach))
+    low = np.clip(np.floor(at).astype(int), 0, SPACES - 1)
+    return np.bincount(low, 1 - (at - low), SPACES + 1) + np.bincount(low + 1, at - low, SPACES + 1)
+
+
+def descend(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The weights of least loss over all pairs of a row of label 1 and one of label 0. rows: x, label (both occur)."""
+
+    def standard(x: np.ndarray) -> np.ndarray:
+        return np.clip((expand(x) - mean) / scale, -8, 8)
+
+    def distributions(w: np.ndarray, reach: float) -> list[np.ndarray]:
+        both = summed(rows, lambda x, label: np.concatenate([spread(s[label == k], reach) for s in [standard(x) @ w] for k in (1, 0)]))
+        return [h / h.sum() for h in (both[: SPACES + 1], both[SPACES + 1 :])]
+
+    def slopes(w: np.ndarray, reach: float, tables: dict) -> np.ndarray:
+        nodes = np.linspace(-reach, reach, SPACES + 1)
+
+        def part(x: np.ndarray, label: np.ndarray) -> np.ndarray:
+            out, z = [], standard(x)
+            for k in (1, 0):
+                own = z[label == k]
+                first, second = (np.interp(own @ w, nodes, t) for t in tables[k])
+                out += [[len(own)], first @ own, second @ own, [second.sum()], ((own * second[:, None]).T @ own).ravel()]
+            return np.concatenate(out)
+
+        return summed(rows, part)
+
+    d, w, step, least, previous = len(weights), weights, np.zeros(len(weights)), np.inf, weights
+    for _ in range(STEPS):
+        reach = max(8 * float(np.abs(w).sum()), 1.0)
+        good, bad = distributions(w, reach)
+        apart = np.linspace(-2 * reach, 2 * reach, 2 * SPACES + 1)
+        lost = 1 / (1 + np.exp(-np.clip(apart, -700, 700)))  # chance that the lower row is preferred
+        mean_over = lambda kernel, h: np.correlate(kernel, h, "valid")[::-1]
+        loss = good @ mean_over(np.logaddexp(0, apart), bad) + RIDGE / 2 * w @ w
+        if loss > least + 1e-9:
+            step = step / 2
+            w = previous + step
+            continue
+        bend = lost * (1 - lost)
+        sums = slopes(w, reach, {1: (mean_over(lost, bad), mean_over(bend, bad)), 0: (mean_over(lost[::-1], good), mean_over(bend, good))})
+        up, down = ((v[1 : d + 1] / v[0], v[d + 1 : 2 * d + 1] / v[0], v[2 * d + 1] / v[0], v[2 * d + 2 :].reshape(d, d) / v[0]) for v in np.split(sums, 2))
+        slope = down[0] - up[0] + RIDGE * w
+        if np.abs(slope).max() < SLOPE:
+            break
+        # The products of the two rows of a pair are taken as if their weights were independent: the matrix stays positive.
+        across = np.outer(up[1], down[1]) / max(up[2], 1e-300)
+        step, least, previous = -np.linalg.solve(up[3] + down[3] - across - across.T + RIDGE * np.eye(d), slope), loss, w
+        w = previous + step
+    return w
+
+
+def quantile(values: DataFrame, below: int) -> float:
+    """The cut of `between` over all values (column s), by passes that each narrow the range; all that is collected is CUTS rows."""
+    low, high, n = values.agg(F.min("s"), F.max("s"), F.count("*")).first()
+    k = min(max(below, 1), n - 1)
+    rest = values
+    while low < high:
+        at = F.least(F.floor((F.col("s") - low) / (high - low) * CUTS), F.lit(CUTS - 1))
+        parts = sorted(rest.groupBy(at.alias("at")).agg(F.count("*").alias("m"), F.min("s").alias("low"), F.max("s").alias("high")).collect())
+        for i, part in enumerate(parts):
+            if k <= part["m"]:
+                break
+            k -= part["m"]
+        if k == part["m"] and i + 1 < len(parts):
+            return (part["high"] + parts[i + 1]["low"]) / 2
+        low, high = part["low"], part["high"]
+        rest = values.where(F.col("s").between(low, high))
+    return float(low)
+
+
 def train(rows: DataFrame) -> Model:
     """rows: x, label (0 or 1; others are left out)."""
+    rows = settle(rows.where("label in (0, 1)").select("x", F.col("label").cast("int").alias("label")))
     order = F.xxhash64("x")
     drawn = [np.array([r["x"] for r in rows.where(F.col("label") == k).orderBy(order).limit(TRAIN_ROWS).select("x").collect()]).reshape(-1, len(FEATURES)) for k in (1, 0)]
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     model = fit(*drawn)
-    if all(len(d) for d in drawn):  # the quantile of all labelled rows, though one label may be cut in the sample
-        s, weight = np.concatenate([model.latent(d) for d in drawn]), np.concatenate([np.full(len(d), counts[k] / len(d)) for d, k in zip(drawn, (1, 0), strict=True)])
-        by = np.argsort(s)
-        model.cut = between(s[by], int(np.searchsorted(np.cumsum(weight[by]), counts[0])) + 1)
+    if all(len(d) for d in drawn):
+        sums = summed(rows, lambda x, label: np.concatenate([[len(x), (label == 0).sum()], expand(x).sum(0)]))
+        mean = sums[2:] / sums[0]
+        scale = np.sqrt(summed(rows, lambda x, _: ((expand(x) - mean) ** 2).sum(0)) / sums[0])
+        scale[scale < 1e-9] = 1
+        model = Model(mean, scale, descend(rows, mean, scale, model.weights * scale / model.scale), 0.0, 1.0)
+        first = model
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.record_batch([pa.array(first.latent(np.asarray(batch.column(0).flatten()).reshape(-1, len(FEATURES))))], ["s"])
+
+        values = settle(rows.select("x").mapInArrow(run, "s double"))
+        model = Model(mean, scale, first.weights, quantile(values, int(sums[1])), 1.0)
+        discard(values)
+    discard(rows)
     return model
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lekhani.llm.common import LOWER, NOT_BLANK, discard, mix, settle, small_batches, span_hashes, table, text_bytes, word_spans
+from lekhani.llm.common import BATCH_BYTES, LOWER, NOT_BLANK, discard, mix, setting, settle, small_batches, span_hashes, table, text_bytes, word_spans
 
 #: Weight of a word's own share beside its pairs' counts, and what smoothing adds to each word of the vocabulary.
 PRIOR, ADDED = 2.0, 0.05
@@ -36,8 +36,10 @@ PRIOR, ADDED = 2.0, 0.05
 PASSES = 2
 #: Hot words and hot pairs: at most so many of each.
 HOT = 1 << 16
-#: Bytes of text that are summed together, and tokens of a part.
-SLICE, PART_TOKENS = 1 << 22, 1 << 21
+#: Bytes of text that are summed together, and tokens of a part: a part's counts take 60 bytes for each pair at most, 32 MB.
+SLICE, PART_TOKENS = 1 << 22, 1 << 19
+#: Bytes that go to a Python worker at once, but for a longer row.
+BATCH = 1 << 23
 _START = np.uint64(0x243F6A8885A308D3)
 _32 = np.uint64(32)
 #: Kinds of packed rows: a part's counts, entries of texts that ask for them, sums that are ready.
@@ -264,7 +266,7 @@ def _pair_counts(texts: DataFrame, totals: Totals, mine: range) -> DataFrame:
         counts = np.concatenate([np.frombuffer(g[2], np.uint32).reshape(-1, 4) for g in group])
         order = np.argsort(pair)
         at = _runs(pair[order])
-        counts = np.add.reduceat(counts[order].astype(np.int64), at)
+        counts = np.add.reduceat(counts[order], at, dtype=np.int64)
         words, place = np.unique(word[order][at], return_inverse=True)
         own = np.stack([np.bincount(place, counts[:, i], len(words)) for i in range(4)], 1).astype(np.int64)
         own[:, 2:] = own[:, :2] - own[:, 2:]  # a word is the word before wherever it ends no text
@@ -371,6 +373,11 @@ def exact_scores(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", tex
 
     docs are the background and what is scored.
     """
+    with setting(docs.sparkSession, BATCH_BYTES, str(BATCH)):
+        return _exact_scores(docs, target, id_col, text_col)
+
+
+def _exact_scores(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> DataFrame:
     target = settle(target.select(F.lit(0).alias("side"), F.col(text_col).alias("text")))  # read in each pass
     texts = target.union(docs.select(F.lit(1).alias("side"), F.col(text_col).alias("text")))
     words = settle(_word_counts(texts))

@@ -8,9 +8,9 @@ document's score is the mean over its words. Documents take part in the counts t
 
 Counts are exact: nothing is capped or shared but by equal 64-bit hashes. A pair's word decides its part; a part's pairs are
 summed, and with them the words' own counts and their counts as the word before, so a part scores its pairs alone. Tasks sum
-slices of texts first and send packed columns. Words and pairs with a share of 1 / HOT of all tokens, of which there can be
-HOT at most, are known to all tasks: hot words' pairs are dealt by the pair, and hot pairs are scored where they stand, so
-no part grows with one word's or one pair's share of the corpus.
+slices of texts first and send packed columns, which name a text by its place in its slice. Words and pairs with a share of 1
+/ HOT of all tokens, of which there can be HOT at most, are known to all tasks: hot words' pairs are dealt by the pair, and
+hot pairs are scored where they stand, so no part grows with one word's or one pair's share of the corpus.
 
 Null or empty texts have no words and score 0. A word at a text's start follows a start sign. Equal texts get equal scores
 (sums are over all copies of a text, known by 63 bits of its hash). Long texts are read whole, in slices of SLICE bytes or
@@ -21,6 +21,7 @@ same order each time a task is run again, as a table is.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,8 @@ _START = np.uint64(0x243F6A8885A308D3)
 _32 = np.uint64(32)
 #: Kinds of packed rows: a part's counts, entries of texts that ask for them, sums that are ready.
 COUNTS, ENTRIES, SUMS = 0, 1, 2
+#: A slice's id, where its sums meet, and the bytes of each step from text to text and of each number of entries.
+_HEAD = "<qiBB"
 
 
 def hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -144,6 +147,24 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in data)], ["part", "kind", "a", "b", "c", "d"])
 
 
+def _planes(x: np.ndarray, size: int = 8) -> np.ndarray:
+    """Column by column the first bytes of all values, then their second ones and so on: like bytes side by side are compressed."""
+    return np.ascontiguousarray(x.T).view(np.uint8).reshape(-1, 8).T[:size]
+
+
+def _thin(x: np.ndarray) -> np.ndarray:
+    """Planes of whole numbers, as many as the largest takes."""
+    return _planes(x.astype(np.int64), max(1, -(-int(x.max()).bit_length() // 8)))
+
+
+def _unfold(data: bytes, n: int, columns: int, dtype: type = np.int64) -> np.ndarray:
+    """The n rows of values that planes hold."""
+    planes = np.frombuffer(data, np.uint8).reshape(-1, n * columns)
+    out = np.zeros((n * columns, 8), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return np.ascontiguousarray(out.view(dtype).reshape(columns, n).T)
+
+
 def _cut(part: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Packed rows of columns that are sorted by part."""
     at = _runs(part)
@@ -233,7 +254,7 @@ def _hot_words(counted: DataFrame, least: float) -> list:
 
 
 def _pair_counts(texts: DataFrame, totals: Totals, mine: range) -> DataFrame:
-    """texts: side, text. One packed row for each part of one pass: pairs (sorted), their counts, their words' places, the words' counts."""
+    """texts: side, text. One packed row for each part of one pass: pairs (sorted); as planes their counts, their words' places, the words' counts."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1, SLICE):
@@ -272,7 +293,7 @@ def _pair_counts(texts: DataFrame, totals: Totals, mine: range) -> DataFrame:
         own[:, 2:] = own[:, :2] - own[:, 2:]  # a word is the word before wherever it ends no text
         known, hot = totals.lookup.find(words)
         own[hot, :2], own[hot, 2:] = totals.own[known[hot]], totals.before[known[hot]]
-        return _packed([(part, COUNTS, pair[order][at], counts[:, :2].astype(np.int64), place.astype(np.int32), own)])
+        return _packed([(part, COUNTS, pair[order][at], _thin(counts[:, :2]), _thin(place), _thin(own))])
 
     return _dealt(texts.mapInArrow(send, _PACKED)).mapInArrow(add, _PACKED)
 
@@ -282,7 +303,8 @@ def _hot_pairs(counted: DataFrame, least: float) -> list:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, (pair, counts, _, _) in _grouped(batches):
-            pair, counts = np.frombuffer(pair, np.uint64), np.frombuffer(counts, np.int64).reshape(-1, 2)
+            pair = np.frombuffer(pair, np.uint64)
+            counts = _unfold(counts, len(pair), 2)
             hot = counts.sum(1) >= least
             yield pa.record_batch([pa.array(pair[hot].astype(np.int64)), pa.array(counts[hot, 0]), pa.array(counts[hot, 1])], ["pair", "t", "b"])
 
@@ -290,7 +312,7 @@ def _hot_pairs(counted: DataFrame, least: float) -> list:
 
 
 def _sums(docs: DataFrame, counted: DataFrame, totals: Totals, hot: list, mine: range) -> DataFrame:
-    """docs: key, text. key, n, t, b: parts of the sums of losses of each text, over the pairs of one pass."""
+    """docs: key, text, and row, a number that no other row has. key, n, t, b: parts of the sums of losses of each text, over the pairs of one pass."""
     hot = sorted((np.uint64(r["pair"] & (1 << 64) - 1), r["t"], r["b"]) for r in hot)
     hot_pairs, hot_counts = Lookup(np.array([r[0] for r in hot], np.uint64)), np.array([r[1:] for r in hot], np.int64).reshape(-1, 2)
 
@@ -312,49 +334,71 @@ def _sums(docs: DataFrame, counted: DataFrame, totals: Totals, hot: list, mine:
             if mine.start:  # lengths and starts count in the first pass
                 n = n * 0
             whole = whole + (n > 0)[:, None] * begin
-            some = np.flatnonzero(whole.any(1) | (n > 0))
-            mark = int(key[0] >> _32)  # where the slice's sums meet
-            slice_of = np.frombuffer(mark.to_bytes(4, "little"), np.uint8)
-            if len(some):
-                yield _packed([(mark, SUMS, key[some], n[some].astype(np.int64), whole[some], n[:0])])
+            start = np.asarray(batch.column(2))[:1].astype(np.int64)  # no other slice has it
+            mark = int(mix(start.view(np.uint64))[0] >> np.uint64(33))  # where the slice's sums meet
+            yield _packed([(mark, SUMS, key, _thin(n), _planes(whole), np.frombuffer(struct.pack(_HEAD, start[0], mark, 0, 0), np.uint8))])
             own = np.flatnonzero((part >= mine.start) & (part < mine.stop))
             if not len(own):
                 continue
             own = own[_by_part(part[own])]  # texts stay together within a part
             part, doc, last, pair = part[own], doc[own], last[own], pair[own]
-            cuts = _runs(part * len(key) + doc)
-            # Each row of a part: its texts, the number of entries of each, the entries' pairs, whether they end their text (and the slice).
-            runs, ends = np.diff(np.append(cuts, len(own))), _runs(part)
-            for lo, hi in zip(ends, np.append(ends[1:], len(own)), strict=True):
-                a, b = np.searchsorted(cuts, [lo, hi])
-                yield _packed([(int(part[lo]), ENTRIES, pair[lo:hi], key[doc[cuts[a:b]]], runs[a:b].astype(np.int32), np.append(last[lo:hi].view(np.uint8), slice_of))])
+            cuts, ends = _runs(part * len(key) + doc), _runs(part)
+            # Each row of a part: the entries' pairs, steps from text to text of the slice, the entries of each text, the slice and whether entries end their text.
+            runs, text, begins = np.diff(np.append(cuts, len(own))), doc[cuts], np.searchsorted(cuts, ends)
+            steps = np.diff(text, prepend=0)
+            steps[begins] = text[begins]
+            steps, runs = (x.astype(np.min_scalar_type(int(x.max()))) for x in (steps, runs))
+            head = np.frombuffer(struct.pack(_HEAD, start[0], mark, steps.itemsize, runs.itemsize), np.uint8)
+            ends, begins = np.append(ends, len(own)), np.append(begins, len(cuts))
+            for lo in range(0, len(ends) - 1, 256):
+                spans = [(ends[i], ends[i + 1], slice(begins[i], begins[i + 1])) for i in range(lo, min(lo + 256, len(ends) - 1))]
+                yield _packed([(int(part[a]), ENTRIES, pair[a:b], steps[of], runs[of], np.append(head, np.packbits(last[a:b]))) for a, b, of in spans])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
+        now, ready, held = None, [], 0
         for part, kind, data in _grouped(batches):
             if kind == SUMS:
-                yield _packed([(part, SUMS, *(np.frombuffer(x, np.uint8) for x in data))])
+                ready.append((part, SUMS, *(np.frombuffer(x, np.uint8) for x in data)))
             elif kind == COUNTS:
-                now, known, own = part, np.frombuffer(data[0], np.uint64), np.frombuffer(data[3], np.int64).reshape(-1, 4)
-                counts, place = np.frombuffer(data[1], np.int64).reshape(-1, 2), np.frombuffer(data[2], np.int32)
+                now, known = part, np.frombuffer(data[0], np.uint64)
+                counts, place = _unfold(data[1], len(known), 2), _unfold(data[2], len(known), 1)[:, 0]
+                own = _unfold(data[3], int(place.max()) + 1, 4)
                 share, follow = -totals.log_share(counts, own[place, :2]), totals.log_before(own[:, 2:])
+                continue
             else:
                 assert part == now  # each pair was counted
                 at = _places(known, np.frombuffer(data[0], np.uint64))
-                loss = share[at] + follow[place[at]] * ~np.frombuffer(data[3][:-4], bool)[:, None]
-                runs, key = np.frombuffer(data[2], np.int32), np.frombuffer(data[1], np.uint64)
-                slice_of = int.from_bytes(data[3][-4:], "little")
-                yield _packed([(slice_of, SUMS, key, np.zeros(len(runs), np.int64), np.add.reduceat(loss, np.cumsum(runs) - runs), runs[:0])])
+                _, mark, _, size = struct.unpack_from(_HEAD, data[3])
+                last = np.unpackbits(np.frombuffer(data[3], np.uint8, offset=struct.calcsize(_HEAD)), count=len(at)).astype(bool)
+                loss = share[at] + follow[place[at]] * ~last[:, None]
+                runs = np.frombuffer(data[2], f"u{size}").astype(np.int64)
+                loss = np.add.reduceat(loss, np.cumsum(runs) - runs)
+                ready.append((mark, SUMS, np.frombuffer(data[1], np.uint8), runs[:0], _planes(loss), np.frombuffer(data[3][: struct.calcsize(_HEAD)], np.uint8)))
+            held += sum(x.nbytes for x in ready[-1][2:])
+            if held > 1 << 20:
+                yield _packed(ready)
+                ready, held = [], 0
+        if ready:
+            yield _packed(ready)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in _parts(batches):
-            yield summed([[np.frombuffer(x, t) for x, t in zip(data, (np.uint64, np.int64, np.float64), strict=False)] for data in group])
+            slices: dict[bytes, list] = {}
+            for data in group:
+                slices.setdefault(data[3][:8], []).append(data)
+            for own in slices.values():
+                yield summed(own)
 
     def summed(group: list) -> pa.RecordBatch:
-        key, n, loss = (np.concatenate([g[i] for g in group]) for i in range(3))
-        order = np.argsort(key, kind="stable")
-        at = _runs(key[order])
-        return rows(key[order][at], np.add.reduceat(n[order], at), np.add.reduceat(loss.reshape(-1, 2)[order], at))
+        """The sums of a slice: of its rows one has the texts' keys and lengths, the others the sums of a part."""
+        (key, n, whole, _), = (g for g in group if g[1])
+        key = np.frombuffer(key, np.uint64)
+        n, total = _unfold(n, len(key), 1)[:, 0], _unfold(whole, len(key), 2, np.float64)
+        for steps, _, loss, head in (g for g in group if not g[1]):
+            at = np.cumsum(np.frombuffer(steps, f"u{struct.unpack(_HEAD, head)[2]}"), dtype=np.int64)
+            total[at] += _unfold(loss, len(at), 2, np.float64)  # a text stands once in a row
+        some = total.any(1) | (n > 0)
+        return rows(key[some], n[some], total[some])
 
     def rows(key: np.ndarray, n: np.ndarray, loss: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch([pa.array(key.astype(np.int64)), pa.array(n), pa.array(loss[:, 0]), pa.array(loss[:, 1])], ["key", "n", "t", "b"])
@@ -389,7 +433,7 @@ def _exact_scores(docs: DataFrame, target: DataFrame, id_col: str, text_col: str
     totals = Totals(hot_words, size, tokens, each * PASSES)
     passes = [range(i * each, (i + 1) * each) for i in range(PASSES)]
     discard(words)
-    keyed = docs.select(_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    keyed = docs.select(_key(text_col).alias("key"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     sums = []
     if hot_words:
         for mine in passes:
